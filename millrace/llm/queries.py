@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licences, near_dedup, piece_codec, quality_lm, token_files, toxicity, warc
+from . import decontaminate, html_text, licences, near_dedup, piece_codec, quality_lm, syncmers, token_files, toxicity, warc
 from .runtime import table
 
 PIECES = "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "chars", F.exp("log_perplexity").alias("perplexity"), "surprise", "cut", "rejected")
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_near_duplicates": near_duplicate_groups,
     "op3_sentencepiece": sentencepiece,
     "op4_quality": quality,
+    "op5_fingerprints": fingerprints,
     "op6_licenses": license_scan,
     "op7_token_files": token_output,
     "op8_html_text": html_extraction,
