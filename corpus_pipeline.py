@@ -1,8 +1,8 @@
 """From raw documents to token ids: quality, toxicity, near copies, contamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents. None of the stages' models is expressible in
-SQL, so ORACLE_SQL is None and the tests compare with a plain version.
+return the columns of documents. The first two stages' models can't be stated in
+SQL, so ORACLE_SQL is None and the tests compare run() with a plain version.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import piece_codec, quality_lm, toxicity
+from millrace.llm import decontaminate, near_dedup, piece_codec, quality_lm, toxicity
 from millrace.llm.queries import PIECES
 from millrace.llm.runtime import discard, scratch, table
 
@@ -23,6 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(docs, public_tokenizers.path(PIECES))
 
@@ -30,6 +38,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality", drop_low_quality),
     ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
     ("encode", encode_pieces),
 ]
 ORACLE_SQL = None
