@@ -1,0 +1,62 @@
+"""Licence scans against a plain search for phrases, and expressions against the grammar."""
+
+import re
+
+import pytest
+
+from millrace.llm import licences as li
+from tests.llm.conftest import ODD_TEXTS
+
+
+def brute(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places = [(i, label) for phrase, label in li.BASE_PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in places]
+    return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+TEXTS = [
+    "All rights reserved. all RIGHTS  reserved, all rights", "CC BY-SA, cc by cc by", "xcc by; cc byx", "GNU General\nPublic License (general public license)",
+    "ALL RIGHTS RESERVED", "all rights reserved all rights reserved", "cc, by", "Licence: É cc by", "general public",
+]
+
+
+@pytest.mark.parametrize("text", [*TEXTS, *ODD_TEXTS])
+def test_base_phrases(text):
+    got = li.scan(text or "")
+    assert got[:5] == brute(text)
+    assert set(got[4].split(",")) - {""} <= set(got[5].split(",")) and 0 <= got[8] <= 1
+
+
+@pytest.mark.parametrize(("expression", "postfix", "fit"), [
+    ("MIT", ["MIT"], True),
+    ("GPL-3.0-only OR MIT", ["GPL-3.0-only", "MIT", "OR"], True),
+    ("GPL-3.0-only AND MIT", ["GPL-3.0-only", "MIT", "AND"], False),
+    ("a or b and c with d", ["a", "b", "c", "d", "with", "and", "or"], False),
+    ("(MIT or x) and (isc OR y)", ["MIT", "x", "or", "isc", "y", "OR", "and"], True),
+    ("Apache-2.0 WITH LLVM-exception", ["Apache-2.0", "LLVM-exception", "WITH"], True),
+])
+def test_expressions(expression, postfix, fit):
+    assert [t if t not in ("or", "and", "with") else t for t in li.postfix(expression)] == [t if t.lower() not in li.BINDING else t.lower() for t in postfix]
+    assert li.permitted(expression) is fit
+
+
+@pytest.mark.parametrize("bad", ["", "MIT OR", "(MIT", "MIT)", "OR MIT", "MIT Apache-2.0", "()", "MIT (isc)"])
+def test_malformed_expressions(bad):
+    with pytest.raises(ValueError):
+        li.postfix(bad)
+
+
+def test_tags_and_notices(documents):
+    rows = [
+        (1, "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0+\nint x;"), (2, "spdx-license-identifier: MIT this file"), (3, "SPDX-License-Identifier: MIT OR"),
+        (4, "Released under the MIT License."), (5, "Licensed under CC BY-NC 4.0."), (6, None), (6, "plain"), (None, "all rights reserved"),
+    ]
+    got = {(r.doc_id, r.n_words): r for r in li.scan_documents(documents(rows)).collect()}
+    by = {i: r for (i, _), r in got.items()}
+    assert by[1].labels == "apache-2.0,gpl-2.0+,mit" and by[1].permitted is False
+    assert by[2].expressions == "MIT" and by[2].permitted is True
+    assert by[3].expressions == "MIT" and by[4].labels == "mit,notice" and by[5].labels == "cc-by,cc-by-nc,notice"
+    assert got[6, 0].score == 0 and got[6, 0].first_word is None and got[None, 3].base_labels == "reserved"
+    assert li.scan_documents(documents([])).count() == 0
