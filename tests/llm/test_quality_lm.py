@@ -1,0 +1,80 @@
+"""The Kneser-Ney model against its formulas in plain Python; classification of junk."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import types as T
+
+from millrace.llm import quality_lm as ql
+from tests.llm.conftest import ODD_TEXTS
+
+LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
+
+
+def plain_model(texts):
+    """Interpolated modified Kneser-Ney of one language, by the book: order -> {ngram: count}, and a function for log probabilities."""
+    n = ql.ORDER
+    counts = {n: Counter()}
+    for t in texts:
+        s = chr(ql.PAD) * (n - 1) + t
+        counts[n].update(s[i : i + n] for i in range(len(t)))
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts, contexts = {}, {}
+    for k, c in counts.items():
+        of = Counter(c.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else None
+        cuts[k] = [min(max(i - (i + 1) * y * of[i + 1] / of[i], 0.05), i - 0.05) if y is not None and of[i + 1] and of[i] else i - 0.5 for i in (1, 2, 3)]
+        contexts[k] = defaultdict(lambda: [0, 0.0, 0])
+        for g, m in c.items():
+            x = contexts[k][g[:-1]]
+            x[0], x[1], x[2] = x[0] + m, x[1] + cuts[k][min(m, 3) - 1], x[2] + 1
+
+    def p(g):
+        k = len(g)
+        total, left, types = contexts[k].get(g[:-1], (0, 0, 0))
+        share = (counts[k][g] - cuts[k][min(counts[k][g], 3) - 1]) / total if counts[k][g] else 0
+        if k == 1:
+            return share + left / total / (types + 1)
+        return share + (left / total if total else 1) * p(g[1:])
+
+    def mean_log(t):
+        s = chr(ql.PAD) * (n - 1) + t
+        return sum(math.log(p(s[i : i + n])) for i in range(len(t))) / len(t) if t else None
+
+    return mean_log
+
+
+def test_scores_equal_the_formulas(spark, documents, prose):
+    trusted = [prose(200, i) for i in range(4)] + ["Straße é!", ""]
+    texts = [prose(60, 50), prose(3, 1), "QQ## zz", "Straße", "é", "", "a" * 300]
+    model = ql.train(documents([(i, t) for i, t in enumerate(trusted)]))
+    docs = documents([(i, t) for i, t in enumerate(texts)]).selectExpr("cast(doc_id as string) doc_id", "doc_id as text_hash", "lang", "text")
+    got = {int(r.doc_id): r.log_perplexity for r in ql.score(ql.blocked(docs), model, ["doc_id"]).collect()}
+    want = plain_model(trusted)
+    for i, t in enumerate(texts):
+        expect = want(t)
+        assert got[i] is None if expect is None else got[i] == pytest.approx(-expect, rel=1e-9)
+
+
+@pytest.mark.parametrize("block_chars", [500, 1 << 24])
+def test_junk_goes_and_prose_stays_whatever_the_blocks(spark, documents, prose, monkeypatch, block_chars):
+    monkeypatch.setattr(ql, "BLOCK_CHARS", block_chars)
+    rng = random.Random(0)
+    rows = [(i, prose(80, i), "en" if i % 3 else "fr") for i in range(200)]
+    junk = ["".join(rng.choice("#$%&*!|@^~QXZ0123456789") for _ in range(300)) for _ in range(12)]
+    rows += [(1000 + i, t, "en") for i, t in enumerate(junk)] + [(2000 + i, t, None) for i, t in enumerate(ODD_TEXTS[:3])] + [(None, prose(50, 3), "en"), (5, prose(80, 5), "en")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)] + [(1000, 0, 0), (9999, 1, 0), (3, None, None)], LABELS)
+    got = ql.classify(documents(rows), labels).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id for r in got if r.rejected} == {1000 + i for i in range(12)}
+    kept = ql.keep_fluent(documents(rows), labels)
+    assert kept.schema == documents(rows).schema and kept.count() == len(rows) - 12
+
+
+def test_without_trusted_text_nothing_goes(spark, documents, prose):
+    none = spark.createDataFrame([], LABELS)
+    assert [r.rejected for r in ql.classify(documents([(1, prose(20, 1)), (2, None)]), none).collect()] == [False, False]
+    assert ql.classify(documents([]), none).count() == 0
