@@ -6,11 +6,12 @@ the highest order's n-grams of their batches; one shuffle adds the counts up by
 n-gram, and the lower orders' continuation counts, the discounts and the
 back-off weights follow by grouping the n-gram types.
 
-The model stays a table. Documents are dealt to blocks of about
-``BLOCK_CHARS`` characters; each block's distinct n-grams, a few percent of its
+The model stays a table. Documents are dealt to blocks of one language and about
+``BLOCK_CHARS`` characters; each block's distinct n-grams, a percent of its
 places, are joined with the model on the n-gram, and what the join finds is
 brought together with the block's documents, which are scored there over their
-whole texts. Nothing that grows with the corpus is broadcast or collected.
+whole texts. Documents travel to their block as compressed batches. Nothing
+that grows with the corpus is broadcast or collected.
 
 A document's log-perplexity less ``SHORT`` by the root of its length (few
 characters tell little) is held against its language's cut: the ``QUANTILE`` of
@@ -19,27 +20,30 @@ median to it. Beyond the cut it is rejected. A language with fewer than
 ``LEAST_CALIBRATION`` of them takes the cut over all languages.
 
 Defined results: null and empty texts have no perplexity and are kept; a null
-language is one of its own; without trusted text nothing is rejected; repeated
-rows are scored alike, each row once; other columns are passed through.
+language is one of its own; a language without trusted text is not judged: its
+documents have no perplexity and are kept; repeated rows are scored alike, each
+row once; other columns are passed through.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import codepoints, written
+from .runtime import bounded, codepoints, written
 
-ORDER = 5
+ORDER = 4
 PAD = 2
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 24
 CHUNK_CHARS = 1 << 20
-QUANTILE, MARGIN, SHORT, LEAST_CALIBRATION = 0.98, 1.5, 4.0, 20
+QUANTILE, MARGIN, SHORT, LEAST_CALIBRATION = 0.98, 1.2, 4.0, 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -60,6 +64,10 @@ def span_hash(chars: np.ndarray, at: np.ndarray, a: int, b: int, seed: np.uint64
     return h ^ np.uint64(b - a)
 
 
+#: What a key stands for is mixed into it: an n-gram, a context, the root context.
+SHARE, WEIGHT, ROOT = np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+
+
 def windows(texts: list[str], lang: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Characters, padded in front of each text; the hash of the window that ends at each of them; each text's length."""
     chars, ends = codepoints(texts, ORDER - 1, PAD)
@@ -90,7 +98,10 @@ NAMES = [f"g{k}" for k in range(ORDER, 0, -1)] + [f"c{k}" for k in range(ORDER,
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """lang, hashes of the n-gram, its suffixes and their contexts, n: for each of the highest order."""
+    """lang, hashes of the n-gram, its suffixes and their contexts, n: for each of the highest order.
+
+    Tasks count by chunk and send an n-gram as its characters; the hashes follow when counts are added up.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -98,40 +109,58 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             for lang, part in chunks(frame):
                 chars, at, _ = windows([texts[i] or "" for i in part], lang)
                 _, first, n = np.unique(span_hash(chars, at, 0, ORDER, language_seed(lang)), return_index=True, return_counts=True)
-                grams, contexts = keys_of(chars, at[first], lang)
-                yield pd.DataFrame({"lang": lang, "n": n} | {k: v.view(np.int64) for k, v in zip(NAMES, grams + contexts, strict=True)})
+                grams = chars[at[first][:, None] + np.arange(ORDER)].astype(np.uint32)
+                yield pd.DataFrame({"lang": lang, "gram": np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel().astype(object), "n": n})
 
-    counted = docs.select("lang", "text").mapInPandas(run, "lang string, n long, " + ", ".join(f"{k} long" for k in NAMES))
-    return counted.groupBy("lang", f"g{ORDER}").agg(F.sum("n").alias("n"), *(F.first(k).alias(k) for k in NAMES if k != f"g{ORDER}"))
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lang, own in frame.groupby("lang"):
+                chars = np.array(own["gram"].tolist(), dtype=f"<U{ORDER}").view(np.uint32).astype(np.uint64)  # ends cut off at NUL come back
+                grams, contexts = keys_of(chars, np.arange(0, len(chars), ORDER), lang)
+                yield pd.DataFrame({"lang": lang, "n": own["n"].to_numpy()} | {k: v.view(np.int64) for k, v in zip(NAMES, grams + contexts, strict=True)})
+
+    counted = docs.select("lang", "text").mapInPandas(run, "lang string, gram string, n long")
+    summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return summed.mapInPandas(hashed, "lang string, n long, " + ", ".join(f"{k} long" for k in NAMES))
 
 
 def train(trusted: DataFrame) -> DataFrame:
-    """The model: (kind, key, value), kind 0 an n-gram's discounted share of its context, kind 1 the weight that a context leaves to the next lower order."""
+    """The model: (key, value), an n-gram's discounted share of its context, or the weight that a context leaves to the next lower order."""
     types, parts = written(count_ngrams(trusted), "ngrams"), []
     for k in range(ORDER, 0, -1):
         if k < ORDER:
             rest = [x for x in NAMES if int(x[1:]) <= k and x != f"g{k}"]
             types = types.groupBy("lang", f"g{k}").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in rest))
         of = [F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        discount = lambda i: F.coalesce(F.when(F.col(f"n{i + 1}") > 0, F.least(F.greatest(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.05)), F.lit(i - 0.05))), F.lit(i - 0.5 if i > 1 else 0.5))  # noqa: E731, B023
+        y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
+
+        def discount(i: int, y: Column = y) -> Column:
+            """By the counts of counts, within (0, i); half below i where they are too few to tell."""
+            share = F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
+            told = F.least(F.greatest(i - (i + 1) * y * share, F.lit(0.05)), F.lit(i - 0.05))
+            return F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0) & y.isNotNull(), told).otherwise(F.lit(i - 0.5))
+
         discounts = types.groupBy("lang").agg(*of).select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         cut = types.join(F.broadcast(discounts), "lang").withColumn("d", d)  # a row for each language
         contexts = cut.groupBy(f"c{k}").agg(F.sum("n").alias("total"), F.sum("d").alias("left"), F.count("*").alias("types"))
-        share = cut.join(contexts.select(f"c{k}", "total"), f"c{k}").select(F.lit(0).alias("kind"), F.col(f"g{k}").alias("key"), ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
+        share = cut.join(contexts.select(f"c{k}", "total"), f"c{k}").select(F.col(f"g{k}").alias("key"), ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
         weight = F.col("left") / F.col("total") if k > 1 else F.col("left") / F.col("total") / (F.col("types") + 1)
-        parts += [share, contexts.select(F.lit(1 if k > 1 else 2).alias("kind"), F.col(f"c{k}").alias("key"), weight.alias("value"))]
+        parts += [share, contexts.select(F.col(f"c{k}").bitwiseXOR(F.lit(int(WEIGHT if k > 1 else ROOT))).alias("key"), weight.alias("value"))]
     model = parts[0]
     for p in parts[1:]:
         model = model.unionByName(p)
     return written(model, "kneser-ney")
 
 
-def blocked(docs: DataFrame, row: Column) -> DataFrame:
-    """``docs`` with a block number; as many blocks as their characters ask for."""
-    chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    return docs.withColumn("_block", F.pmod(F.xxhash64(row), F.lit(max(1, -(-chars // BLOCK_CHARS)))))
+def blocked(docs: DataFrame) -> DataFrame:
+    """``docs`` (with lang and text) with a block number; each language has as many blocks as its characters ask for."""
+    lang = F.coalesce("lang", F.lit(""))
+    # A row for each language, of those that need several blocks.
+    large = docs.groupBy(lang.alias("lang")).agg((F.sum(F.char_length("text")) / BLOCK_CHARS).alias("n")).filter("n > 1").collect()
+    several = F.create_map(*(F.lit(x) for r in large for x in (r["lang"], math.ceil(r["n"])))) if large else None
+    blocks = F.coalesce(F.try_element_at(several, lang), F.lit(1)) if large else F.lit(1)
+    return docs.withColumn("_block", F.xxhash64(lang, F.pmod(F.xxhash64("doc_id", "text_hash"), blocks)))
 
 
 class Lookup:
@@ -165,62 +194,81 @@ class Lookup:
         return out
 
 
-def block_scores(frame: pd.DataFrame, model: pd.DataFrame) -> np.ndarray:
-    """Mean log probability of each text's characters; nan for empty ones."""
-    key = model["key"].to_numpy().astype(np.int64).view(np.uint64)
-    kind, value = model["kind"].to_numpy(), model["value"].to_numpy(dtype=float)
-    share, weight, least = (Lookup(key[kind == k], value[kind == k]) for k in (0, 1, 2))
-    texts, out = frame["text"].to_numpy(), np.full(len(frame), np.nan)
+class Scorer:
+    """Mean log probability of each text's characters, from a block's part of the model; nan for empty texts."""
+
+    def __init__(self, entries: pd.DataFrame):
+        self.model = Lookup(entries["key"].to_numpy().astype(np.int64).view(np.uint64), entries["value"].to_numpy(dtype=float))
+
+    def __call__(self, frame: pd.DataFrame) -> np.ndarray:
+        texts, out = frame["text"].to_numpy(), np.full(len(frame), np.nan)
+        for lang, part in chunks(frame):
+            chars, at, size = windows([texts[i] or "" for i in part], lang)
+            if not len(at):
+                continue
+            window = span_hash(chars, at, 0, ORDER, language_seed(lang))
+            types, first = np.unique(window, return_index=True)
+            grams, contexts = keys_of(chars, at[first], lang)
+            p = self.model(contexts[-1] ^ ROOT, np.nan)  # nan, too, for a language without trusted text
+            for g, c, k in zip(grams[::-1], contexts[::-1], range(1, ORDER + 1), strict=True):
+                p = self.model(g ^ SHARE, 0.0) + (self.model(c ^ WEIGHT, 1.0) if k > 1 else 1.0) * p
+            logs = Lookup(types, np.log(np.maximum(p, 1e-12)))(window, np.nan)
+            ends = np.cumsum(size)
+            sums = np.concatenate([[0.0], np.cumsum(logs)])
+            out[part] = np.where(size > 0, (sums[ends] - sums[ends - size]) / np.maximum(size, 1), np.nan)
+        return out
+
+
+def needed(frame: pd.DataFrame) -> np.ndarray:
+    """The keys that scoring these texts looks up."""
+    texts, found = frame["text"].to_numpy(), [np.zeros(0, np.uint64)]
     for lang, part in chunks(frame):
-        chars, at, size = windows([texts[i] or "" for i in part], lang)
-        if not len(at):
-            continue
-        window = span_hash(chars, at, 0, ORDER, language_seed(lang))
-        types, first = np.unique(window, return_index=True)
+        chars, at, _ = windows([texts[i] or "" for i in part], lang)
+        _, first = np.unique(span_hash(chars, at, 0, ORDER, language_seed(lang)), return_index=True)
         grams, contexts = keys_of(chars, at[first], lang)
-        p = least(contexts[-1], 1e-6)
-        for g, c, k in zip(grams[::-1], contexts[::-1], range(1, ORDER + 1), strict=True):
-            p = share(g, 0.0) + (weight(c, 1.0) if k > 1 else 1.0) * p
-        logs = Lookup(types, np.log(np.maximum(p, 1e-12)))(window, 0.0)
-        ends = np.cumsum(size)
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        out[part] = np.where(size > 0, (sums[ends] - sums[ends - size]) / np.maximum(size, 1), np.nan)
-    return out
+        found += [np.unique(g) ^ SHARE for g in grams] + [np.unique(c) ^ WEIGHT for c in contexts[:-1]] + [np.unique(contexts[-1]) ^ ROOT]
+    return np.unique(np.concatenate(found))
+
+
+def pack(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(blob: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(blob).read_all().to_pandas()
 
 
 def score(docs: DataFrame, model: DataFrame, id_columns: list[str]) -> DataFrame:
-    """``id_columns`` and log_perplexity of every document; docs must hold text, lang and _block."""
+    """``id_columns`` (strings) and log_perplexity of every document; docs must hold text, lang and _block."""
+    columns = list(dict.fromkeys([*id_columns, "lang", "text"]))
 
-    def needs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame.reset_index(drop=True)
-            for block, places in frame.groupby("_block").indices.items():
-                own = frame.iloc[places]
-                texts = own["text"].to_numpy()
-                found = [[], []]
-                for lang, part in chunks(own):
-                    chars, at, _ = windows([texts[i] or "" for i in part], lang)
-                    if not len(at):
-                        continue
-                    _, first = np.unique(span_hash(chars, at, 0, ORDER, language_seed(lang)), return_index=True)
-                    grams, contexts = keys_of(chars, at[first], lang)
-                    found[0] += [np.unique(x) for x in grams]
-                    found[1] += [np.unique(x) for x in contexts]
-                for kind, keys in enumerate(found):
-                    if keys:
-                        yield pd.DataFrame({"_block": block, "kind": kind, "key": np.unique(np.concatenate(keys)).view(np.int64)})
-                        if kind:
-                            yield pd.DataFrame({"_block": block, "kind": 2, "key": np.unique(np.concatenate(keys)).view(np.int64)})
-
-    wanted = docs.select("_block", "lang", "text").mapInPandas(needs, "_block long, kind int, key long").distinct()
-    found = wanted.join(model, ["kind", "key"])
-
-    def run(frame: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        return frame[id_columns].assign(log_perplexity=-block_scores(frame, entries))
-
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in id_columns) + ", log_perplexity double"
-    out = docs.groupBy("_block").cogroup(found.groupBy("_block")).applyInPandas(run, schema)
+            for block, own in frame.groupby("_block"):
+                yield pd.DataFrame({"_block": [block], "rows": [pack(own[columns])]})
+
+    def needs(parts: pd.DataFrame) -> pd.DataFrame:
+        keys = np.zeros(0, np.uint64)
+        for blob in parts["rows"]:
+            keys = np.union1d(keys, needed(unpack(blob)))
+        return pd.DataFrame({"_block": parts["_block"].iloc[0], "key": keys.view(np.int64)})
+
+    def run(parts: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        scorer, out = Scorer(entries), [pd.DataFrame({c: [] for c in id_columns})]
+        for blob in parts["rows"]:
+            frame = unpack(blob)
+            out.append(frame[id_columns].assign(log_perplexity=-scorer(frame)))
+        return pd.concat(out)
+
+    # One exchange of the packed documents serves both the keys and the scores.
+    sent = docs.select("_block", *columns).mapInPandas(packed, "_block long, rows binary").repartition("_block")
+    found = sent.groupBy("_block").applyInPandas(needs, "_block long, key long").join(model, "key")
+    schema = ", ".join(f"`{c}` string" for c in id_columns) + ", log_perplexity double"
+    out = sent.groupBy("_block").cogroup(found.groupBy("_block")).applyInPandas(run, schema)
     return out.withColumn("log_perplexity", F.nanvl("log_perplexity", F.lit(None).cast("double")))
 
 
@@ -230,10 +278,10 @@ def calibrating(doc_id: Column) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_hash, lang, chars, log_perplexity, surprise, cut, rejected of every document; the scores are a written table."""
-    good = labels.filter("quality = 1").select("doc_id").distinct()
+    good = bounded(written(labels.filter("quality = 1").select("doc_id").distinct(), "trusted"))
     own = docs.select("doc_id", "lang", "text")
     model = train(own.filter(F.col("doc_id").isNotNull() & ~calibrating(F.col("doc_id"))).join(good, "doc_id", "left_semi"))
-    rows = blocked(own.select(F.col("doc_id").cast("string").alias("doc_id"), text_hash().cast("string").alias("text_hash"), "lang", F.char_length("text").cast("string").alias("chars"), F.coalesce("text", F.lit("")).alias("text")), F.struct("doc_id", "text_hash"))
+    rows = blocked(own.select(F.col("doc_id").cast("string").alias("doc_id"), text_hash().cast("string").alias("text_hash"), "lang", F.char_length("text").cast("string").alias("chars"), F.coalesce("text", F.lit("")).alias("text")))
     scored = written(score(rows, model, ["doc_id", "text_hash", "lang", "chars"]).withColumns({c: F.col(c).cast("long") for c in ("doc_id", "text_hash", "chars")}), "perplexities")
     scored = scored.withColumn("surprise", F.col("log_perplexity") - SHORT / F.sqrt(F.greatest("chars", F.lit(1))))
     trusted = scored.filter(calibrating(F.col("doc_id"))).join(good, "doc_id", "left_semi").filter("surprise IS NOT NULL")

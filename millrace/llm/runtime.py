@@ -24,6 +24,10 @@ ITEM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a few numbers that are broadcast at most: some tens of MB on each executor.
+BROADCAST_ROWS = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,6 +53,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids, hinted for broadcast if its count is within the bound; else joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def discard(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     """Deletes a table that :func:`written` made, once nothing will read it again."""
     paths = [df_or_path] if isinstance(df_or_path, str) else {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()}
