@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import bounded, written
+
 K, S = 5, 2
 ANCHORS = 64
 SHORT, SHORT_K, SHORT_S = 48, 4, 2
@@ -81,6 +83,10 @@ def hashes(fingerprint: str) -> Column:
     return F.transform(fingerprint, lambda x: x["hash"])
 
 
+def places(fingerprint: str) -> Column:
+    return F.transform(fingerprint, lambda x: x["pos"])
+
+
 def likeness(a: str, b: str) -> Column:
     """Estimated share of common anchors, from two columns of sampled hashes."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, ANCHORS)
@@ -96,12 +102,13 @@ def aligned(a: str, b: str) -> Column:
     return F.aggregate(runs, F.array().cast("array<struct<pos_a:int,pos_b:int>>"), lambda best, r: F.when(F.size(r) > F.size(best), r).otherwise(best))
 
 
-def printed(fingerprint: str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lower(F.lpad(F.hex(x["hash"]), HASH_BITS // 4, "0")), F.lit(":"), x["pos"].cast("string"))), " ")
+def printed(anchors: str, at: str) -> Column:
+    """The fingerprint as text, from its hashes and positions."""
+    return F.array_join(F.zip_with(anchors, at, lambda h, p: F.concat(F.lower(F.lpad(F.hex(h), HASH_BITS // 4, "0")), F.lit(":"), p.cast("string"))), " ")
 
 
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """Adds next: the carried columns of the document that follows by doc_id descending; the first one's to the last.
+def with_next(rows: DataFrame, carried: list[str], ahead: list[str]) -> DataFrame:
+    """doc_id, the carried columns, and next: the columns ``ahead`` of the document that follows by doc_id descending; the first one's to the last.
 
     Rows are dealt to runs of neighbouring ids. Each run also gets the first row of the run after it, so one exchange of the rows is enough.
     """
@@ -115,20 +122,21 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     order = Window.orderBy(F.desc("_run"))
     top = Window.orderBy(F.desc("_run")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     borders = heads.select("_head", F.coalesce(F.lag("_run").over(order), F.last("_run").over(top)).alias("_to"))
+    borders = bounded(written(borders, "borders"))
     placed = placed.join(borders, placed["doc_id"].eqNullSafe(borders["_head"]), "left")
     own = F.struct(F.col("_run").alias("run"), F.lit(False).alias("copy"))
     both = F.array(own, F.struct(F.col("_to").alias("run"), F.lit(True).alias("copy")))
     dealt = placed.withColumn("_place", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(both))).select("doc_id", *carried, "_place.*")
     within = Window.partitionBy("run").orderBy("copy", F.desc_nulls_last("doc_id"), "text")
-    return dealt.withColumn("next", F.lead(F.struct(*carried)).over(within)).filter("NOT copy")
+    return dealt.withColumn("next", F.lead(F.struct(*ahead)).over(within)).filter("NOT copy")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = with_fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "print")
-    rows = with_next(rows, ["text", "print"])
+    rows = with_next(rows.select("doc_id", "text", hashes("print").alias("a"), places("print").alias("at")), ["text", "a", "at"], ["text", "a"])
     n, m = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "print", F.col("next.print").alias("next_print"), F.concat(F.substring("text", F.lit(1), n - m), F.substring("next.text", F.lit(1), m)).alias("edited"))
-    rows = with_fingerprint(rows, "edited", "edited_print")
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "print", "edited_print", hashes("print").alias("a"), hashes("edited_print").alias("b"), hashes("next_print").alias("c"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", printed("print").alias("fingerprint"), printed("edited_print").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "a", "at", F.col("next.a").alias("c"), F.concat(F.substring("text", F.lit(1), n - m), F.substring("next.text", F.lit(1), m)).alias("edited"))
+    rows = with_fingerprint(rows, "edited", "print")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "at", "c", hashes("print").alias("b"), places("print").alias("edited_at"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", printed("a", "at").alias("fingerprint"), printed("b", "edited_at").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
