@@ -218,5 +218,8 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages as archives and reads them back."""
-    manifest = write_archives(plan_records(pages), scratch(pages.sparkSession, "warc"))
+    # few archives of full size rather than one for each task that happens to hold rows
+    n_bytes = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // ARCHIVE_BYTES))
+    manifest = write_archives(plan_records(pages).coalesce(tasks), scratch(pages.sparkSession, "warc"))
     return read_archives(manifest).drop("target_uri", "verified")
