@@ -15,8 +15,19 @@ whole: in each round a few of its members, those that meet most others, are
 pivots, and only pairs of a pivot and a member of another component are
 verified, on full sets. Verified links merge components; pivots leave the
 bucket; buckets within one component are done. Rounds go on until no bucket is
-open, the number of pivots doubling, so every candidate pair is either verified
-or within one component. Partitions reduce their links by union-find; the
+open, with more pivots each, so every candidate pair is either verified, ruled
+out by its sizes, or within one component.
+
+Buckets that the first round leaves open with more than ``CROWD`` members are
+such as many documents with a passage in common fill without being alike. Their
+members are dealt anew, by prefixes: linked sets share 75 % of either's
+shingles, so under any one order of all shingles the first 25 % and one more of
+both have a shingle in common. The order is from rare to common ones, so a
+shared passage comes last and the new buckets are small. There a shingle that
+only one of the crowd has can't be common to two, and of those in one of
+``GROUPS`` groups by hash two sets share no more than the smaller number; what
+these numbers add up to bounds a pair's similarity and rules out nearly all
+pairs in a group of loose copies of one text. Partitions reduce their links by union-find; the
 forests are merged by moving links to the smallest neighbour until stars remain.
 Nothing of all this is collected.
 
@@ -33,17 +44,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, written
+from .runtime import bounded, discard, written
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
 SLOTS = BANDS * ROWS
 SHARE = 75
 BLOCK_BYTES = 1 << 21
-FIRST_PIVOTS = 2
+#: Pivots of a bucket in the first round, and times as many in each round after it.
+FIRST_PIVOTS, MORE_PIVOTS = 2, 32
+CROWD = 8
+#: Shingles of a prefix that its rows carry, to tell in which bucket a pair meets first.
+CARRIED = 16
+GROUPS = 64
+#: Links that one partition's union-find takes, on average.
+FOREST_LINKS = 1 << 20
 GOLD, MA, MB = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x2545F4914F6CDD1D
 
@@ -160,24 +178,58 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets share at least SHARE percent of their union. Pairs arrive sorted by a, whose set is kept from one to the next."""
+    """The pairs (a, b) whose full sets share at least SHARE percent of their union. Of a batch, each text is taken apart once."""
     left = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_set = None, None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (ta, tb) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                ta, tb = ta.as_py() or "", tb.as_py() or ""
-                if ta != held:
-                    held, held_set = ta, shingles([ta.encode("utf-8", "surrogatepass")])[0]
-                other = shingles([tb.encode("utf-8", "surrogatepass")])[0]
-                common = len(np.intersect1d(held_set, other, assume_unique=True))
-                keep[i] = 100 * common >= SHARE * (len(held_set) + len(other) - common)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            one, two = ([t or "" for t in batch.column(k).to_pylist()] for k in (2, 3))
+            sets: dict[str, np.ndarray] = {}
+            distinct = list(dict.fromkeys([*one, *two]))
+            at = 0
+            for block in blocks([t.encode("utf-8", "surrogatepass") for t in distinct]):
+                hashes, ends = shingles(block)
+                sets |= {t: hashes[ends[k] : ends[k + 1]] for k, t in enumerate(distinct[at : at + len(block)])}
+                at += len(block)
+            common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(one, two, strict=True)])
+            sizes = np.array([len(sets[x]) + len(sets[y]) for x, y in zip(one, two, strict=True)])
+            yield batch.select([0, 1]).filter(pa.array(100 * common >= SHARE * (sizes - common), pa.bool_()))
+
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def prefixes(texts: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(bucket, id, n, degree, c, first, groups): the prefixes of the crowd's sets (id, n, degree), shingles that two of them have at least; c: how many such a set has; first: the rarest of its prefix; groups: the shareable ones' numbers by hash.
+
+    Those that only one has come first in a prefix and meet nothing, so they are counted but not kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for block in blocks([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]):
+                hashes, ends = shingles(block)
+                owner = np.repeat(batch.column(0).to_numpy()[at : at + len(block)], np.diff(ends))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(owner)], names=["bucket", "id"])
+                at += len(block)
+
+    rows = written(texts.join(crowd.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "bucket long, id long"), "shingles")
+    df = rows.groupBy("bucket").agg(F.count("*").alias("df")).filter("df > 1")
+    own = rows.join(df, "bucket").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "bucket"))).alias("own"))
+    length = F.col("n") - F.ceil(SHARE * F.col("n") / 100) + 1
+    own = own.join(crowd, "id").withColumn("c", F.size("own").cast("long"))
+    own = own.withColumn("groups", F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.size(F.filter("own", lambda x: F.pmod(x["bucket"], F.lit(GROUPS)) == g))))
+    own = own.withColumn("own", F.transform(F.slice("own", F.lit(1), F.greatest(length - (F.col("n") - F.col("c")), F.lit(0)).cast("int")), lambda x: x["bucket"]))
+    dealt = own.select(F.explode("own").alias("bucket"), "id", "n", "degree", "c", F.slice("own", 1, CARRIED).alias("first"), "groups")
+    least = dealt.groupBy("bucket").agg(F.min("n").alias("n_lo"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    return dealt.join(least, "bucket").filter(alike("n", F.greatest("n_lo", F.ceil(SHARE * F.col("n") / 100)), "c")).select("bucket", "id", "n", "degree", "c", "first", "groups")
+
 
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+def alike(n: str, other: Column | str, shareable: Column | str) -> Column:
+    """Whether sets of these sizes, with so many shingles in common at most, can reach the threshold."""
+    n, other, shareable = (F.col(x) if isinstance(x, str) else x for x in (n, other, shareable))
+    return (100 + SHARE) * F.least(shareable, n, other) >= SHARE * (n + other)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
@@ -197,7 +249,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest node that each linked node reaches, itself left out if it is that node."""
+    """(id, component): the smallest node that each linked node reaches, itself left out if it is that node. ``links`` is a written table."""
 
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, int] = {}
@@ -207,7 +259,10 @@ def components(links: DataFrame) -> DataFrame:
         rows = [(x, r) for x, r in found.items() if x != r]
         yield pd.DataFrame(rows, columns=["node", "up"], dtype="int64")
 
-    edges, before = written(links.select("a", "b").mapInPandas(reduce, "node long, up long"), "forest"), None
+    parts = -(-links.count() // FOREST_LINKS)
+    edges, before = written(links.select("a", "b").coalesce(max(1, parts)).mapInPandas(reduce, "node long, up long"), "forest"), None
+    if parts <= 1:
+        return edges.select(F.col("node").alias("id"), F.col("up").alias("component"))
     while True:
         least = edges.groupBy("node").agg(F.min("up").alias("least"))
         top = least.select(F.col("node").alias("least"), F.col("least").alias("above"))
@@ -238,16 +293,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket", "size")
     members = written(rows.join(shared, "bucket").distinct(), "buckets")
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    members, old = written(members.join(degree, "id").select("bucket", "id", "n", "degree"), "members"), members
+    members, old = written(members.join(degree, "id").select("bucket", "id", "n", "degree", F.col("n").alias("c"), F.array().cast("array<bigint>").alias("first"), F.array().cast("array<int>").alias("groups")), "members"), members
     discard(spark, old)
-    wanted = members.select("id").distinct()
+    wanted = bounded(written(members.select("id").distinct(), "wanted"))
     texts = written(docs.select(F.col("doc_id").alias("id"), "text").filter("id IS NOT NULL").join(wanted, "id", "left_semi"), "texts")
     # rows that repeat a doc_id link the classes that they are in
     repeats = some.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
     same = some.join(repeats, "doc_id", "left_semi").join(classes, ["a", "b", "n"]).filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    label = components(same.distinct())
-    tested = None
-    pivots = FIRST_PIVOTS
+    label = components(written(same.distinct(), "repeats"))
+    tested, pivots = None, FIRST_PIVOTS
     while True:
         placed = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
@@ -255,22 +309,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if placed.isEmpty():
             break
         cell = F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots))
-        best = placed.groupBy("bucket", cell.alias("cell")).agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n", "component")).alias("p"))
-        chosen = written(best.select("bucket", (-F.col("p.minus")).alias("a"), F.col("p.n").alias("n_a"), F.col("p.component").alias("component_a")), "pivots")
-        pairs = placed.join(chosen, "bucket").filter((F.col("component") != F.col("component_a")) & (F.col("id") != F.col("a")))
-        pairs = pairs.filter(100 * F.least("n", "n_a") >= SHARE * F.greatest("n", "n_a"))  # else the sets can't be alike enough
-        # of two pivots each is a member to the other: one order will do
-        both = placed.join(chosen.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_semi").select("bucket", "id", F.lit(True).alias("pivot"))
-        pairs = pairs.join(both, ["bucket", "id"], "left").filter("pivot IS NULL OR a < id").select("a", F.col("id").alias("b")).distinct()
+        best = placed.groupBy("bucket", cell.alias("cell")).agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n", "c", "component", "first", "groups")).alias("p"))
+        chosen = written(best.select("bucket", (-F.col("p.minus")).alias("a"), F.col("p.n").alias("n_a"), F.col("p.c").alias("c_a"), F.col("p.first").alias("first_a"), F.col("p.groups").alias("groups_a"), F.col("p.component").alias("component_a")), "pivots")
+        met = F.get(F.array_intersect("first", "first_a"), F.lit(0))  # a pair is one of the first bucket that it shares
+        pairs = placed.join(chosen, "bucket").filter(F.coalesce(met == F.col("bucket"), F.lit(True))).filter((F.col("component") != F.col("component_a")) & (F.col("id") != F.col("a")))
+        pairs = pairs.filter(alike("n", "n_a", F.least("c", "c_a")))
+        both = F.aggregate(F.zip_with("groups", "groups_a", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        pairs = pairs.filter(F.when((F.size("groups") > 0) & (F.size("groups_a") > 0), alike("n", "n_a", both)).otherwise(True))
+        # one row for a pair, whatever buckets it meets in and if both are pivots
+        pairs = pairs.groupBy(F.least("a", "id").alias("lo"), F.greatest("a", "id").alias("hi")).agg(F.max("a").alias("a"))
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
         pairs = written(pairs, "pairs")
-        new = written(verified(pairs, texts), "verified")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not new.isEmpty():
-            label = components(new.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        members = placed.join(chosen.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n", "degree")
-        pivots *= 2
+        new = written(verified(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), texts), "verified")
+        tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
+        label = components(written(new.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))), "links"))
+        members = placed.join(chosen.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n", "degree", "c", "first", "groups")
+        if pivots == FIRST_PIVOTS:
+            members = written(members, "rest")
+            crowded = written(members.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > CROWD).select("bucket"), "crowded")
+            if not crowded.isEmpty():
+                crowd = written(members.join(crowded, "bucket", "left_semi").select("id", "n", "degree").distinct(), "crowd")
+                members = written(members.join(crowded, "bucket", "left_anti").unionByName(prefixes(texts, crowd)), "dealt")
+        pivots *= MORE_PIVOTS
     many = classes.filter("copies > 1").select("a", "b", "n", "id")
     out = sets.select("doc_id", "n", "a", "b").join(many, ["a", "b", "n"], "left").withColumn("id", F.coalesce("id", "doc_id"))
     out = out.join(label, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
