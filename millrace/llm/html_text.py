@@ -3,12 +3,15 @@
 Markup is stripped in one pass that keeps an open-element stack: block tags end
 a line, inline tags do not, and text below boilerplate elements (menus,
 headers, footers, sidebars, notices, adverts, forms, comments; told by tag,
-role, class or id) or outside the page's article, where it has one, has length
-0. Over the lines' text lengths a window slides; the text starts where the
-windows' sums surge from nothing and ends where they dive back for good. A page
-without an article element is cut further: beyond a dive of a whole window,
-lines count only if they outweigh the links they hold. All lines between surge
-and dive that have length are kept, in page order.
+role, class or id) is left out. A page with an article element gives all other
+lines of its articles.
+
+On any other page lines that are more than half link text have length 0. Over
+the lines' lengths a window slides: a block of text runs from where its sums
+surge to where they dive back to near 0, if they rise over a threshold between
+(``SURGE`` characters, or half the page's largest sum where that is less). All
+lines of a block are kept, in page order, links and words in names or not, and
+the headings right before it; all lines outside the blocks go.
 
 Defined results: null and empty html, and pages of boilerplate alone, give "";
 unclosed and stray tags, broken references and pages that end in the middle of
@@ -22,11 +25,14 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 WINDOW = 3
+#: Characters in a window that make a block text; the share of them that is near 0.
+SURGE, DIVE = 80, 0.1
 #: Element names as HTML defines them.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +47,8 @@ NAMES = re.compile(
     r"complementary|contentinfo|dialog|skip-link|toolbar|pagination|pager)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED, BOILER = 1, 2
 TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
 ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
@@ -48,9 +56,14 @@ ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 @dataclass
 class Line:
     text: str
+    #: Characters but for white space, and those of them in links.
+    chars: int
     link_chars: int
     boilerplate: bool
+    #: Below an element whose name only holds a word for boilerplate.
+    named: bool
     in_article: bool
+    heading: bool
 
 
 @dataclass
@@ -61,40 +74,40 @@ class Lines:
     parts: list[str] = field(default_factory=list)
     link: int = 0
 
-    def end(self, boilerplate: bool, in_article: bool) -> None:
+    def end(self, mark: int, in_article: bool, heading: bool) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.done.append(Line(text, self.link, boilerplate, in_article))
+            words = "".join(self.parts).split()
+            if words:
+                self.done.append(Line(" ".join(words), sum(map(len, words)), self.link, mark == BOILER, mark == NAMED, in_article, heading))
             self.parts, self.link = [], 0
 
 
-def is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
+def mark_of(name: str, attrs: str, in_article: bool) -> int:
     if name in BOILERPLATE or name == "header" and not in_article:
-        return True
+        return BOILER
     if not attrs or name in ("article", "main", "body", "html"):
-        return False
+        return 0
     own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
-        return True
-    return any(NAMES.search(own[k]) for k in ("class", "id", "role") if k in own)
+        return BOILER
+    return BOILER if any(NAMES.search(own[k]) for k in ("class", "id", "role") if k in own) else 0
 
 
 def strip_markup(page: str) -> list[Line]:
-    lines, stack = Lines(), []  # stack: (name, boilerplate from here on, hidden, article depth)
-    boiler = hidden = False
-    article = links = at = 0
+    lines, stack = Lines(), []  # stack: (name, mark from here on, hidden, article depth, in a heading)
+    hidden = heading = False
+    mark = article = links = at = 0
 
     def reset() -> None:
-        nonlocal boiler, hidden, article
-        boiler, hidden, article = stack[-1][1:] if stack else (False, False, 0)
+        nonlocal mark, hidden, article, heading
+        mark, hidden, article, heading = stack[-1][1:] if stack else (0, False, 0, False)
 
     while at < len(page):
         m = TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text and not hidden:
             lines.parts.append(html.unescape(text))
-            lines.link += len(text) * bool(links)
+            lines.link += sum(map(len, lines.parts[-1].split())) if links else 0
         if not m:
             break
         at = m.end()
@@ -106,7 +119,7 @@ def strip_markup(page: str) -> list[Line]:
                 lines.parts.append(" ")
             continue
         if block:
-            lines.end(boiler, article > 0)
+            lines.end(mark, article > 0, heading)
         if m["close"]:
             if name == "a":
                 links = max(0, links - 1)
@@ -134,35 +147,46 @@ def strip_markup(page: str) -> list[Line]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
-        marked = is_boilerplate(name, m["attrs"], article > 0)
-        if marked and not block:
-            lines.end(boiler, article > 0)
+        own = mark_of(name, m["attrs"], article > 0)
+        if own > mark and not block:
+            lines.end(mark, article > 0, heading)
         article += name in ("article", "main")
-        boiler, hidden = boiler or marked, hidden or name in HIDDEN
-        stack.append((name, boiler, hidden, article))
-    lines.end(boiler, article > 0)
+        mark, hidden, heading = max(mark, own), hidden or name in HIDDEN, heading or name in HEADINGS
+        stack.append((name, mark, hidden, article, heading))
+    lines.end(mark, article > 0, heading)
     return lines.done
 
 
-def bounds(lengths: list[int]) -> tuple[int, int]:
-    """First line of the surge and the line after the dive, of the sums over windows of WINDOW lines."""
+def blocks(lengths: list[int]) -> list[tuple[int, int]]:
+    """First line of each surge and the line after its dive, of the sums over windows of WINDOW lines."""
     sums = [sum(lengths[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(lengths) + WINDOW - 1)]
-    surge = next((i for i, s in enumerate(sums) if s), None)
-    if surge is None:
-        return 0, 0
-    dive = next(i for i in range(len(sums) - 1, -1, -1) if sums[i])
-    return surge, dive - WINDOW + 2
+    high = min(SURGE, max(sums, default=0) / 2)
+    out, at = [], 0
+    for above, run in groupby(sums, lambda x: x > high * DIVE):
+        own = list(run)
+        if above and max(own) >= high:
+            out.append((at, at + len(own) - WINDOW + 1))
+        at += len(own)
+    return out
+
+
+def bounds(lengths: list[int]) -> tuple[int, int]:
+    """First line of the first surge and the line after the last dive."""
+    found = blocks(lengths)
+    return (found[0][0], found[-1][1]) if found else (0, 0)
 
 
 def main_text(page: str) -> str:
-    lines = strip_markup(page)
-    marked = any(x.in_article and not x.boilerplate for x in lines)
-    weigh = lambda x: len(x.text) if x.in_article else 0
-    if not marked:
-        weigh = lambda x: len(x.text) if 2 * x.link_chars <= len(x.text) else 0
-    lengths = [0 if x.boilerplate else weigh(x) for x in lines]
-    start, stop = bounds(lengths)
-    return "\n".join(x.text for x, n in zip(lines[start:stop], lengths[start:stop], strict=True) if n)
+    lines = [x for x in strip_markup(page) if not x.boilerplate]
+    if any(x.in_article for x in lines):
+        return "\n".join(x.text for x in lines if x.in_article)
+    kept, last = [], 0
+    for start, stop in blocks([len(x.text) if not x.named and 2 * x.link_chars <= x.chars else 0 for x in lines]):
+        while start > last and lines[start - 1].heading:
+            start -= 1
+        last = stop
+        kept += [x.text for x in lines[start:stop]]
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -45,6 +45,26 @@ def test_surge_and_dive():
     assert ht.bounds([0, 0]) == (0, 0) and ht.bounds([]) == (0, 0) and ht.bounds([1]) == (0, 1)
 
 
+LONG = "A sentence of the text that goes on for long enough to be more than any menu."
+DIVS = "".join(f"<div>{LONG} {i}</div>" for i in range(4))
+TEXT = "\n".join(f"{LONG} {i}" for i in range(4))
+LINKS = "".join(f"<div><a href=x>Page {i}</a></div>" for i in range(5))
+
+
+def test_blocks_fall_apart_at_a_dive_and_faint_ones_go():
+    assert ht.blocks([60, 90, 0, 0, 0, 5, 0, 0, 0, 70, 40]) == [(0, 2), (9, 11)]
+    assert ht.blocks([60, 0, 0, 90]) == [(0, 4)] and ht.blocks([0, 0]) == ht.blocks([]) == []
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div>{LINKS}</div><div>{DIVS}</div><div>{LINKS}</div><div>All rights kept 2020</div>", TEXT),
+    (f"<div>Welcome!</div><div>{LINKS}</div><div>{DIVS}</div>", TEXT),
+    (f"<div>{DIVS}</div><div>{LINKS}</div><div>{DIVS}</div>", f"{TEXT}\n{TEXT}"),
+])
+def test_surges_without_article_or_telling_names(page, text):
+    assert ht.main_text(page) == text
+
+
 def test_table(spark):
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("text", T.StringType())])
     rows = [(1, "u", CASES[0][0], "x"), (1, "u", CASES[0][0], "x"), (None, None, None, None), (2, "v", "", None)]
