@@ -47,6 +47,14 @@ NAMES = re.compile(
     r"complementary|contentinfo|dialog|skip-link|toolbar|pagination|pager)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Those that an article's own parts are named by, too.
+OF_ARTICLES = frozenset("header banner masthead notice alert search form foot aside promotion copyright overlay consent".split())
+#: Names of several words that say boilerplate of a certain kind.
+SURE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsored|cookies?|gdpr|newsletter|subscribe|breadcrumbs?|navbar|sidebar|widget|disqus|commentlist|pagination|popup|modal|toolbar)(?:$|[\s_-])|"
+    r"(?:^|\s)(?:share|sharing|social|related|recommended|comments?|nav|menu|site|page|login|search)[_-](?:buttons?|bar|box|links?|icons?|media|share|posts?|articles?|stories|news|list|form|section|area|menu|nav|footer|header|items?|container|wrapper)(?:$|\s)",
+    re.IGNORECASE,
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMED, BOILER = 1, 2
 TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
@@ -83,6 +91,7 @@ class Lines:
 
 
 def mark_of(name: str, attrs: str, in_article: bool) -> int:
+    """BOILER for boilerplate wherever it stands, NAMED for what only its name hints at, else 0. A heading's name tells nothing, nor does the id of an article's section."""
     if name in BOILERPLATE or name == "header" and not in_article:
         return BOILER
     if not attrs or name in ("article", "main", "body", "html"):
@@ -90,7 +99,18 @@ def mark_of(name: str, attrs: str, in_article: bool) -> int:
     own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
         return BOILER
-    return BOILER if any(NAMES.search(own[k]) for k in ("class", "id", "role") if k in own) else 0
+    if name in HEADINGS:
+        return 0
+    role, classes, ident = (own.get(k, "").lower() for k in ("role", "class", "id"))
+    words = [*role.split(), *classes.split()]
+    if not (in_article and name == "section"):
+        words.append(ident)
+    if any(x and NAMES.fullmatch(x) and not (in_article and x in OF_ARTICLES) for x in words):
+        return BOILER
+    if SURE.search(classes) or name != "section" and not in_article and SURE.search(ident):
+        return BOILER
+    hints = [classes] if name == "section" else [classes, ident]
+    return NAMED if not in_article and any(NAMES.search(x) for x in hints) else 0
 
 
 def strip_markup(page: str) -> list[Line]:

@@ -65,6 +65,23 @@ def test_surges_without_article_or_telling_names(page, text):
     assert ht.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div>{LINKS}</div><h1><a href=x>Title</a></h1>{DIVS}", f"Title\n{TEXT}"),
+    (f"{DIVS}<p><a href=x>A reference, linked</a></p>{DIVS}", f"{TEXT}\nA reference, linked\n{TEXT}"),
+    (f"<div class='entry-header'><h1>Title</h1></div>{DIVS}", f"Title\n{TEXT}"),
+    (f"{DIVS}<p><a href=x>A &amp; &amp; &amp; &amp; B</a> and a few words more</p>{DIVS}", f"{TEXT}\nA & & & & B and a few words more\n{TEXT}"),
+    (f"<article><h2 id='related-work'>Related work</h2>{P}</article>", f"Related work\n{WANT}"),
+    (f"<article><section id='social-history'>{P}</section></article>", WANT),
+    (f"<article><section id='comments'>{P}</section><div class='ad-slot'>Buy!</div><div class='share-buttons'>Send</div></article>", WANT),
+    (f"<article><h2 id='form-of-government'>Form</h2><div class='entry-header'>{P}</div></article>", f"Form\n{WANT}"),
+    (f"<div><h2 id='related-work'>Related work</h2>{DIVS}</div>", f"Related work\n{TEXT}"),
+    (f"<div><section id='social-history'>{DIVS}</section></div>", TEXT),
+    (f"<div class='social-bar'>Follow us</div><div>{DIVS}</div><div class='related-posts'><div>{LONG}</div></div>", TEXT),
+])
+def test_names_and_links_take_nothing_from_the_text(page, text):
+    assert ht.main_text(page) == text
+
+
 def test_table(spark):
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("text", T.StringType())])
     rows = [(1, "u", CASES[0][0], "x"), (1, "u", CASES[0][0], "x"), (None, None, None, None), (2, "v", "", None)]
