@@ -14,10 +14,13 @@ whole texts. Documents travel to their block as compressed batches. Nothing
 that grows with the corpus is broadcast or collected.
 
 A document's log-perplexity less ``SHORT`` by the root of its length (few
-characters tell little) is held against its language's cut: the ``QUANTILE`` of
-what the calibration documents have, plus ``MARGIN`` times the way from their
-median to it. Beyond the cut it is rejected. A language with fewer than
-``LEAST_CALIBRATION`` of them takes the cut over all languages.
+characters tell little) is held against its language's cut, and beyond it
+rejected. The cut is the quantile of the calibration documents that tells them
+best from the documents labelled of bad quality, none of which the model has
+seen: the share of the good beyond it and of the bad within it is least. Where
+nothing lies between the two kinds it is half way. A language with fewer than
+``LEAST_CALIBRATION`` documents of either kind takes the cut over all languages;
+with no bad ones at all it is the ``QUANTILE`` of the good.
 
 Defined results: null and empty texts have no perplexity and are kept; a null
 language is one of its own; a language without trusted text is not judged: its
@@ -43,7 +46,9 @@ ORDER = 4
 PAD = 2
 BLOCK_CHARS = 1 << 24
 CHUNK_CHARS = 1 << 20
-QUANTILE, MARGIN, SHORT, LEAST_CALIBRATION = 0.98, 1.2, 4.0, 20
+QUANTILE, SHORT, LEAST_CALIBRATION = 0.98, 4.0, 20
+#: Steps of the quantiles of each kind that a cut is looked for among.
+STEPS = 1000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -276,22 +281,41 @@ def calibrating(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1
 
 
+def fitted(good: list[float] | None, bad: list[float] | None) -> float | None:
+    """The cut, from the quantiles in STEPS steps of documents of either kind."""
+    if not good:
+        return None
+    if not bad:
+        return good[round(QUANTILE * STEPS)]
+    good, bad = np.sort(good), np.sort(bad)
+    at = np.unique(np.concatenate([good, bad]))
+    lost = 1 - np.searchsorted(good, at, "right") / len(good)
+    passed = np.searchsorted(bad, at, "right") / len(bad)
+    k = int(np.argmin(lost + passed))
+    return float(at[k : k + 2].mean())
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_hash, lang, chars, log_perplexity, surprise, cut, rejected of every document; the scores are a written table."""
     good = bounded(written(labels.filter("quality = 1").select("doc_id").distinct(), "trusted"))
+    poor = bounded(written(labels.filter("quality = 0").select("doc_id").distinct(), "poor"))
     own = docs.select("doc_id", "lang", "text")
     model = train(own.filter(F.col("doc_id").isNotNull() & ~calibrating(F.col("doc_id"))).join(good, "doc_id", "left_semi"))
     rows = blocked(own.select(F.col("doc_id").cast("string").alias("doc_id"), text_hash().cast("string").alias("text_hash"), "lang", F.char_length("text").cast("string").alias("chars"), F.coalesce("text", F.lit("")).alias("text")))
     scored = written(score(rows, model, ["doc_id", "text_hash", "lang", "chars"]).withColumns({c: F.col(c).cast("long") for c in ("doc_id", "text_hash", "chars")}), "perplexities")
     scored = scored.withColumn("surprise", F.col("log_perplexity") - SHORT / F.sqrt(F.greatest("chars", F.lit(1))))
-    trusted = scored.filter(calibrating(F.col("doc_id"))).join(good, "doc_id", "left_semi").filter("surprise IS NOT NULL")
-    at = F.percentile_approx("surprise", [0.5, QUANTILE], 10000)
-    cut = (at[1] + MARGIN * (at[1] - at[0])).alias("cut")
-    every = trusted.agg(cut.alias("cut_all"))
-    by_lang = trusted.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(cut, F.count("*").alias("n")).filter(F.col("n") >= LEAST_CALIBRATION).drop("n")
-    # One row, and a row for each language that has LEAST_CALIBRATION documents: looked up, not joined, so no language is a hot key.
-    overall = every.first()["cut_all"]
-    cuts = {r["_lang"]: r["cut"] for r in by_lang.collect()}
+    held = scored.filter("surprise IS NOT NULL")
+    steps = F.percentile_approx("surprise", [k / STEPS for k in range(STEPS + 1)], 10000).alias("steps")
+    # A row, and a row for each language, of either kind: looked up, not joined, so no language is a hot key.
+    overall, by_lang = [], []
+    for rows in (held.filter(calibrating(F.col("doc_id"))).join(good, "doc_id", "left_semi"), held.join(poor, "doc_id", "left_semi")):
+        overall.append(rows.agg(steps).first()["steps"])
+        counted = rows.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(steps, F.count("*").alias("n")).filter(F.col("n") >= LEAST_CALIBRATION)
+        by_lang.append({r["_lang"]: r["steps"] for r in counted.collect()})
+    cuts = {x: fitted(by_lang[0][x], by_lang[1][x]) for x in by_lang[0].keys() & by_lang[1].keys()}
+    if not overall[1]:
+        cuts = {x: fitted(q, None) for x, q in by_lang[0].items()}
+    overall = fitted(*overall)
     own_cut = F.lit(overall).cast("double")
     if cuts:
         table = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair))

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import pytest
 from pyspark.sql import types as T
@@ -78,3 +79,22 @@ def test_without_trusted_text_nothing_goes(spark, documents, prose):
     none = spark.createDataFrame([], LABELS)
     assert [r.rejected for r in ql.classify(documents([(1, prose(20, 1)), (2, None)]), none).collect()] == [False, False]
     assert ql.classify(documents([]), none).count() == 0
+
+
+def test_a_cut_is_the_quantile_that_tells_the_kinds_apart():
+    good = [1 + k / ql.STEPS for k in range(ql.STEPS + 1)]
+    assert ql.fitted(None, None) is None and ql.fitted(good, None) == pytest.approx(1.98)
+    assert ql.fitted(good, [3.0] * 5) == pytest.approx(2.5)
+    assert 1.95 <= ql.fitted(good, [1.96 + k / ql.STEPS for k in range(ql.STEPS + 1)]) <= 1.97
+
+
+def test_labelled_junk_of_the_supplied_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    texts = {r.doc_id: (r.text, r.quality) for r in docs.join(labels, "doc_id").collect()}
+    rejected = {r.doc_id for r in ql.classify(docs, labels).filter("rejected").collect()}
+    junk = {i for i, (_, q) in texts.items() if q == 0}
+    fine = texts.keys() - junk
+    stuttering = {i for i in junk if any(len(list(run)) >= 5 for _, run in groupby(texts[i][0].split()))}
+    assert len(junk) == 58 and len(stuttering) > 5
+    assert len(junk - rejected) <= 3 and len(stuttering - rejected) <= 2
+    assert len(fine & rejected) <= 0.03 * len(fine)
