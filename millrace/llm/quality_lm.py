@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .runtime import bounded, codepoints, written
 
-ORDER = 4
+ORDER = 5
 PAD = 2
 BLOCK_CHARS = 1 << 24
 CHUNK_CHARS = 1 << 20
