@@ -4,15 +4,14 @@ A text's words are hashed; a k-mer of K words is a closed syncmer if the
 smallest hash among its inner substrings of S words is that of its first or
 its last one. Whether a k-mer is chosen depends on its own words alone, so the
 same passage yields the same anchors wherever it stands. The fingerprint lists
-the ``ANCHORS`` smallest anchor hashes with the word position of each one's
-first occurrence; a bottom sample of a set is again free of context.
+all anchors in the order of the text, each with its word position.
 
-Likeness is the share of common anchors in a bottom sample of the union of both
-samples. Texts of fewer than ``SHORT`` words also give the k-mers of
-``SHORT_K`` characters as anchors of their own kind, so that a change of one
+Likeness is the share of common anchors in the union of both sets. Texts of
+fewer than ``SHORT`` words also give the k-mers of ``SHORT_K`` characters as
+anchors of their own kind, so that a change of one
 word in a few does not change everything; a text shorter than any k-mer is one
-anchor as a whole. Anchors at agreeing distances tell which passage is shared
-(:func:`aligned`).
+anchor as a whole. Anchors at agreeing distances tell which passage is
+shared (:func:`aligned`).
 
 All of it is DataFrame operations.
 
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 from .runtime import bounded, written
 
 K, S = 5, 2
-ANCHORS = 64
 SHORT, SHORT_K, SHORT_S = 48, 4, 2
 HASH_BITS = 48
 #: Documents of a run that is put in order together, on average.
@@ -48,6 +46,10 @@ def sliding_min(df: DataFrame, column: str, n: int) -> DataFrame:
     return df
 
 
+def tagged(seed: int, *of: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *of), 64 - HASH_BITS)
+
+
 def sliding_hash(tokens: Column, n: int) -> Column:
     """Hash of each n neighbours."""
     return F.transform(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(0))), lambda _, i: F.xxhash64(F.slice(tokens, i + 1, F.lit(n))))
@@ -59,24 +61,22 @@ def with_anchors(df: DataFrame, tokens: str, out: str, k: int, s: int, seed: int
     df = sliding_min(df, "_least", k - s + 1)
     inner = lambda i: F.get("_inner", i)
     at_edge = lambda x, i: (x == inner(i)) | (x == inner(i + (k - s)))
-    anchor = lambda i: F.struct(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.slice(tokens, i + 1, F.lit(k))), 64 - HASH_BITS).alias("hash"), i.alias("pos"))
+    anchor = lambda i: F.struct(tagged(seed, F.slice(tokens, i + 1, F.lit(k))).alias("hash"), i.alias("pos"))
     return df.withColumn(out, F.array_compact(F.transform("_least", lambda x, i: F.when(at_edge(x, i), anchor(i))))).drop("_inner", "_least")
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the bottom sample of ``text``'s anchors, by hash: array<struct<hash, pos>>."""
+    """Adds all of ``text``'s anchors, those of words first: array<struct<hash, pos>>."""
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     df = df.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
     few = F.size("_words") < SHORT
     df = df.withColumn("_chars", F.when(few, F.transform(F.array_remove(F.split(text, ""), ""), lambda c: F.xxhash64(c))).otherwise(F.array().cast("array<bigint>")))
     df = with_anchors(df, "_words", "_anchors", K, S, 1)
     df = with_anchors(df, "_chars", "_short", SHORT_K, SHORT_S, 2)
-    whole = F.array(F.struct(F.shiftrightunsigned(F.xxhash64(F.lit(3), F.col(text)), 64 - HASH_BITS).alias("hash"), F.lit(0).alias("pos")))
+    whole = F.array(F.struct(tagged(3, F.col(text)).alias("hash"), F.lit(0).alias("pos")))
     df = df.withColumn("_all", F.when(F.size("_words") >= SHORT, F.col("_anchors")).otherwise(F.concat("_anchors", "_short")))
     none = (F.size("_all") == 0) & (F.length(text) > 0)
-    df = df.withColumn("_sorted", F.sort_array(F.when(none, whole).otherwise(F.col("_all"))))
-    first = F.filter("_sorted", lambda x, i: (i == 0) | (x["hash"] != F.get("_sorted", i - 1)["hash"]))
-    return df.withColumn(out, F.slice(first, 1, ANCHORS)).drop("_words", "_chars", "_anchors", "_short", "_all", "_sorted")
+    return df.withColumn(out, F.when(none, whole).otherwise(F.col("_all"))).drop("_words", "_chars", "_anchors", "_short", "_all")
 
 
 def hashes(fingerprint: str) -> Column:
@@ -88,15 +88,15 @@ def places(fingerprint: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Estimated share of common anchors, from two columns of sampled hashes."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, ANCHORS)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(common / F.greatest(F.size(union), F.lit(1)))
+    """Share of common anchors, from two columns of hashes."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
 
 
 def aligned(a: str, b: str) -> Column:
     """Of two fingerprints' common anchors, the most that lie at one distance: array<struct<pos_a, pos_b>> of them."""
-    pairs = F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: F.struct(x["pos"].alias("pos_a"), y["pos"].alias("pos_b")))))
+    common = F.array_intersect(hashes(a), hashes(b))
+    shared = lambda x: F.filter(x, lambda h: F.array_contains(common, h["hash"]))
+    pairs = F.flatten(F.transform(shared(a), lambda x: F.transform(F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: F.struct(x["pos"].alias("pos_a"), y["pos"].alias("pos_b")))))
     gaps = F.array_distinct(F.transform(pairs, lambda p: p["pos_b"] - p["pos_a"]))
     runs = F.transform(gaps, lambda g: F.filter(pairs, lambda p: p["pos_b"] - p["pos_a"] == g))
     return F.aggregate(runs, F.array().cast("array<struct<pos_a:int,pos_b:int>>"), lambda best, r: F.when(F.size(r) > F.size(best), r).otherwise(best))
@@ -133,10 +133,14 @@ def with_next(rows: DataFrame, carried: list[str], ahead: list[str]) -> DataFram
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = with_fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "print")
-    rows = with_next(rows.select("doc_id", "text", hashes("print").alias("a"), places("print").alias("at")), ["text", "a", "at"], ["text", "a"])
+    rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"], ["text"])
     n, m = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "a", "at", F.col("next.a").alias("c"), F.concat(F.substring("text", F.lit(1), n - m), F.substring("next.text", F.lit(1), m)).alias("edited"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", F.col("next.text").alias("after"), F.concat(F.substring("text", F.lit(1), n - m), F.substring("next.text", F.lit(1), m)).alias("edited"))
+    # Anchors are made after the exchange, those of the next text a second time: all of them would weigh more than the texts on the way.
+    rows = with_fingerprint(rows, "text", "print")
+    rows = rows.withColumns({"a": hashes("print"), "at": places("print")}).drop("text", "print")
+    rows = with_fingerprint(rows, "after", "print")
+    rows = rows.withColumn("c", hashes("print")).drop("after", "print")
     rows = with_fingerprint(rows, "edited", "print")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "at", "c", hashes("print").alias("b"), places("print").alias("edited_at"))
     return rows.select("doc_id", "n_chars", "edited_sha256", printed("a", "at").alias("fingerprint"), printed("b", "edited_at").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))

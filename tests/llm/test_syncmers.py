@@ -68,6 +68,15 @@ def test_equal_texts_have_equal_fingerprints_and_edits_stay_near(documents, pros
     assert all(0 <= v <= 1 for r in got.values() for v in (r.near_edited, r.near_next))
 
 
+def test_long_texts_keep_all_anchors_and_short_shared_passages(documents, prose):
+    passage = prose(50, 9)
+    a, b = f"{prose(1500, 1)} {passage} {prose(1500, 2)}", f"{prose(1000, 3)} {passage} {prose(1700, 4)}"
+    rows = sy.with_fingerprint(documents([(1, a), (2, b)]).select("doc_id", "text"), "text", "print").select("doc_id", "print")
+    x, y = rows.filter("doc_id = 1").select(F.col("print").alias("p")), rows.filter("doc_id = 2").select(F.col("print").alias("q"))
+    r = x.crossJoin(y).select("p", sy.aligned("p", "q").alias("run")).first()
+    assert len(r.p) > 750 and len(r.run) >= 8 and {z.pos_b - z.pos_a for z in r.run} == {-500}
+
+
 def test_native(documents):
     plan = sy.fingerprints(documents([(1, "a b c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
