@@ -8,9 +8,10 @@ all anchors in the order of the text, each with its word position.
 
 Likeness is the share of common anchors in the union of both sets. Texts of
 fewer than ``SHORT`` words also give the k-mers of ``SHORT_K`` characters as
-anchors of their own kind, so that a change of one
+anchors of their own kind, told by the highest bit, so that a change of one
 word in a few does not change everything; a text shorter than any k-mer is one
-anchor as a whole. Anchors at agreeing distances tell which passage is
+anchor as a whole, of the same kind. Where only one of two texts has that kind,
+words alone are compared. Anchors at agreeing distances tell which passage is
 shared (:func:`aligned`).
 
 All of it is DataFrame operations.
@@ -31,6 +32,8 @@ from .runtime import bounded, written
 K, S = 5, 2
 SHORT, SHORT_K, SHORT_S = 48, 4, 2
 HASH_BITS = 48
+#: The bit that anchors of characters have.
+CHARS = 1 << HASH_BITS - 1
 #: Documents of a run that is put in order together, on average.
 RUN = 16384
 
@@ -47,7 +50,9 @@ def sliding_min(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def tagged(seed: int, *of: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *of), 64 - HASH_BITS)
+    """Hash of HASH_BITS bits, the highest of which tells the kind: 0 for words (seed 1)."""
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *of), 65 - HASH_BITS)
+    return h if seed == 1 else h.bitwiseOR(F.lit(CHARS))
 
 
 def sliding_hash(tokens: Column, n: int) -> Column:
@@ -88,8 +93,11 @@ def places(fingerprint: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of common anchors, from two columns of hashes."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
+    """Share of common anchors, from two columns of hashes; of words alone unless both have anchors of characters, which stand last."""
+    has = lambda x: F.coalesce(F.get(x, F.size(x) - 1) >= CHARS, F.lit(False))
+    own = lambda x, y: F.when(has(x) & ~has(y), F.filter(x, lambda h: h < CHARS)).otherwise(F.col(x))
+    x, y = own(a, b), own(b, a)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)))
 
 
 def aligned(a: str, b: str) -> Column:

@@ -77,6 +77,15 @@ def test_long_texts_keep_all_anchors_and_short_shared_passages(documents, prose)
     assert len(r.p) > 750 and len(r.run) >= 8 and {z.pos_b - z.pos_a for z in r.run} == {-500}
 
 
+def test_likeness_across_the_bound_of_short_texts(documents, prose):
+    text = prose(sy.SHORT, 1)
+    docs = documents([(1, text), (2, " ".join(text.split()[:-1])), (3, "few words")]).select("doc_id", "text")
+    rows = sy.with_fingerprint(docs, "text", "print").select("doc_id", sy.hashes("print").alias("a"))
+    other = rows.select(F.col("doc_id").alias("j"), F.col("a").alias("b"))
+    got = {(r.doc_id, r.j): r.s for r in rows.crossJoin(other).select("doc_id", "j", sy.likeness("a", "b").alias("s")).collect()}
+    assert got[1, 2] == got[2, 1] > 0.9 and got[1, 3] == 0 and got[2, 2] == got[3, 3] == 1
+
+
 def test_native(documents):
     plan = sy.fingerprints(documents([(1, "a b c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
