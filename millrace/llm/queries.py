@@ -14,7 +14,7 @@ BYTE_PAIRS = "byte_bpe_50k.json"
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_hash")
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_hash", "_whole")
 
 
 def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where none is set."""
+    """The cluster's shared folder. Only a session in one JVM may do without the setting; it gets a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -66,6 +68,26 @@ def discard(spark: SparkSession, df_or_path: DataFrame | str) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+class Workspace:
+    """Tables written on the way to a result; all go when it is left. As a context manager around the job that reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        path = scratch(self.spark, tag)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's file system for a URI, and the path in it; for tasks that write or seek in files."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))

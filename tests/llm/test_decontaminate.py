@@ -1,6 +1,7 @@
 """Contamination against a search of every window in every document."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -38,7 +39,7 @@ def brute(docs, bench):
 def run(spark, documents):
     def go(docs, bench):
         table = spark.createDataFrame([(*b, "w") for b in bench], BENCH)
-        return sorted(map(tuple, dc.contamination(documents(docs), table).drop("_hash").collect()), key=repr)
+        return sorted(map(tuple, dc.contamination(documents(docs), table).drop("_hash", "_whole").collect()), key=repr)
 
     return go
 
@@ -71,6 +72,14 @@ def test_common_words_only(run):
     assert run(docs, bench) == brute(docs, bench)
 
 
+@pytest.mark.parametrize("n", [20000, 100000])
+def test_long_text_of_one_word(run, n):
+    bench = [(1, "the " * 14), (2, "the " * 12 + "end the"), (3, "of " * 14)]
+    ids = [hashlib.sha256(x.encode()).hexdigest() for x in ("1", "")]
+    got = run([(1, "the " * n), (2, "of the " * (n // 2)), (3, "the " * (n // 2) + "of " + "the " * 12)], bench)
+    assert got == [(1, n, n, 1, ids[0], True), (2, n, 0, 0, ids[1], False), (3, n // 2 + 13, n // 2, 1, ids[0], True)]
+
+
 def test_empty_tables(run, prose):
     assert run([], [(1, prose(20, 1))]) == []
     docs = [(1, prose(20, 1))]
@@ -86,6 +95,32 @@ def test_proximity_finds_terms_in_any_order_within_reach(spark, documents):
     assert index.count() == 7 + 13 + 2 + 3  # every word is in the index
 
 
+@pytest.mark.parametrize("slack", [0, 3])
+def test_proximity_against_every_stretch(spark, documents, slack):
+    rng = random.Random(slack)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    bench = [(1, "a b c d"), (2, "h h a"), (3, "e f g h a b"), (4, "zz a"), (5, "c")]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(40, None), (None, "h a h"), (3, texts[3])]
+    items = dc.test_items(spark.createDataFrame([(*b, "") for b in bench], BENCH))
+    got = {(r.doc_id, r.item_id) for r in dc.proximity_matches(dc.build_index(documents(docs)), items, slack).collect()}
+    want = set()
+    for i, t in docs:
+        for j, item in bench:
+            d, w = words(t), words(item)
+            if any(set(w) <= set(d[p : p + len(w) + slack]) for p in range(len(d))):
+                want.add((i, j))
+    assert got == want and len(want) > 20
+
+
+def test_a_long_document_with_one_passage_goes(spark, documents, prose):
+    passage = prose(20, 1)
+    bench = spark.createDataFrame([(1, passage, ""), (2, "short item", "")], BENCH)
+    rows = [(1, f"{prose(2500, 2)} {passage} {prose(2500, 3)}"), (2, prose(5000, 4)), (3, f"{prose(100, 5)} short item {prose(100, 6)}"), (4, "a short item"), (5, f"{prose(2500, 2)} {' '.join(passage.split()[:12])}")]
+    share = {r.doc_id for r in dc.contamination(documents(rows), bench).collect() if r.contaminated}
+    assert share == {4}
+    assert {r.doc_id for r in dc.keep_uncontaminated(documents(rows), bench).collect()} == {2, 3, 5}
+
+
 def test_filter_keeps_columns(spark, documents, prose):
     docs = documents([(1, prose(30, 1)), (2, prose(30, 2)), (None, prose(30, 1)), (4, None)])
     kept = dc.keep_uncontaminated(docs, spark.createDataFrame([(1, prose(30, 1), "")], BENCH))
