@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bounded, codepoints, written
+from .runtime import Workspace, bounded, codepoints, discard, written
 
 ORDER = 5
 PAD = 2
@@ -90,6 +90,14 @@ def keys_of(chars: np.ndarray, at: np.ndarray, lang: str | None) -> tuple[list[n
     return [span_hash(chars, at, k, ORDER, seed) for k in range(ORDER)], [span_hash(chars, at, k, ORDER - 1, seed) for k in range(ORDER)]
 
 
+def distinct(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place where each distinct value first stands, and every value's number among the distinct ones; by hash, not by sorting."""
+    number, values = pd.factorize(window)
+    first = np.empty(len(values), np.int64)
+    first[number[::-1]] = np.arange(len(window))[::-1]
+    return first, number
+
+
 def chunks(frame: pd.DataFrame) -> Iterator[tuple[str | None, np.ndarray]]:
     """The rows' places, by language, in runs of about CHUNK_CHARS."""
     size = np.array([len(t or "") for t in frame["text"]], np.int64)
@@ -113,7 +121,8 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             texts = frame["text"].to_numpy()
             for lang, part in chunks(frame):
                 chars, at, _ = windows([texts[i] or "" for i in part], lang)
-                _, first, n = np.unique(span_hash(chars, at, 0, ORDER, language_seed(lang)), return_index=True, return_counts=True)
+                first, number = distinct(span_hash(chars, at, 0, ORDER, language_seed(lang)))
+                n = np.bincount(number, minlength=len(first))
                 grams = chars[at[first][:, None] + np.arange(ORDER)].astype(np.uint32)
                 yield pd.DataFrame({"lang": lang, "gram": np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel().astype(object), "n": n})
 
@@ -130,8 +139,14 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
 
 def train(trusted: DataFrame) -> DataFrame:
+    """The model, a written table."""
+    with Workspace(trusted.sparkSession) as work:
+        return written(estimate(trusted, work), "kneser-ney")
+
+
+def estimate(trusted: DataFrame, work: Workspace) -> DataFrame:
     """The model: (key, value), an n-gram's discounted share of its context, or the weight that a context leaves to the next lower order."""
-    types, parts = written(count_ngrams(trusted), "ngrams"), []
+    types, parts = work.written(count_ngrams(trusted), "ngrams"), []
     for k in range(ORDER, 0, -1):
         if k < ORDER:
             rest = [x for x in NAMES if int(x[1:]) <= k and x != f"g{k}"]
@@ -145,9 +160,10 @@ def train(trusted: DataFrame) -> DataFrame:
             told = F.least(F.greatest(i - (i + 1) * y * share, F.lit(0.05)), F.lit(i - 0.05))
             return F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0) & y.isNotNull(), told).otherwise(F.lit(i - 0.5))
 
-        discounts = types.groupBy("lang").agg(*of).select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
+        # A row for each language, and a language may be most of the corpus: broadcast as long as the languages are within the bound.
+        discounts = bounded(work.written(types.groupBy("lang").agg(*of).select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3))), "discounts"))
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = types.join(F.broadcast(discounts), "lang").withColumn("d", d)  # a row for each language
+        cut = types.join(discounts, "lang").withColumn("d", d)
         contexts = cut.groupBy(f"c{k}").agg(F.sum("n").alias("total"), F.sum("d").alias("left"), F.count("*").alias("types"))
         share = cut.join(contexts.select(f"c{k}", "total"), f"c{k}").select(F.col(f"g{k}").alias("key"), ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
         weight = F.col("left") / F.col("total") if k > 1 else F.col("left") / F.col("total") / (F.col("types") + 1)
@@ -155,7 +171,7 @@ def train(trusted: DataFrame) -> DataFrame:
     model = parts[0]
     for p in parts[1:]:
         model = model.unionByName(p)
-    return written(model, "kneser-ney")
+    return model
 
 
 def blocked(docs: DataFrame) -> DataFrame:
@@ -171,7 +187,7 @@ def blocked(docs: DataFrame) -> DataFrame:
 class Lookup:
     """From n-gram hashes to numbers: tables in which of all keys that share a slot one is kept, the others going on to the next table."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int | None = None):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.tables = []
         while len(keys):
             shift = np.uint64(64 - max(4, int(len(keys) * 2).bit_length()))
@@ -211,13 +227,12 @@ class Scorer:
             chars, at, size = windows([texts[i] or "" for i in part], lang)
             if not len(at):
                 continue
-            window = span_hash(chars, at, 0, ORDER, language_seed(lang))
-            types, first = np.unique(window, return_index=True)
+            first, number = distinct(span_hash(chars, at, 0, ORDER, language_seed(lang)))
             grams, contexts = keys_of(chars, at[first], lang)
             p = self.model(contexts[-1] ^ ROOT, np.nan)  # nan, too, for a language without trusted text
             for g, c, k in zip(grams[::-1], contexts[::-1], range(1, ORDER + 1), strict=True):
                 p = self.model(g ^ SHARE, 0.0) + (self.model(c ^ WEIGHT, 1.0) if k > 1 else 1.0) * p
-            logs = Lookup(types, np.log(np.maximum(p, 1e-12)))(window, np.nan)
+            logs = np.log(p)[number]  # p > 0: the root gives every character the unseen ones' weight
             ends = np.cumsum(size)
             sums = np.concatenate([[0.0], np.cumsum(logs)])
             out[part] = np.where(size > 0, (sums[ends] - sums[ends - size]) / np.maximum(size, 1), np.nan)
@@ -229,10 +244,10 @@ def needed(frame: pd.DataFrame) -> np.ndarray:
     texts, found = frame["text"].to_numpy(), [np.zeros(0, np.uint64)]
     for lang, part in chunks(frame):
         chars, at, _ = windows([texts[i] or "" for i in part], lang)
-        _, first = np.unique(span_hash(chars, at, 0, ORDER, language_seed(lang)), return_index=True)
+        first, _ = distinct(span_hash(chars, at, 0, ORDER, language_seed(lang)))
         grams, contexts = keys_of(chars, at[first], lang)
-        found += [np.unique(g) ^ SHARE for g in grams] + [np.unique(c) ^ WEIGHT for c in contexts[:-1]] + [np.unique(contexts[-1]) ^ ROOT]
-    return np.unique(np.concatenate(found))
+        found += [g ^ SHARE for g in grams] + [c ^ WEIGHT for c in contexts[:-1]] + [contexts[-1][:1] ^ ROOT]
+    return pd.unique(np.concatenate(found))
 
 
 def pack(frame: pd.DataFrame) -> bytes:
@@ -259,7 +274,7 @@ def score(docs: DataFrame, model: DataFrame, id_columns: list[str]) -> DataFrame
     def needs(parts: pd.DataFrame) -> pd.DataFrame:
         keys = np.zeros(0, np.uint64)
         for blob in parts["rows"]:
-            keys = np.union1d(keys, needed(unpack(blob)))
+            keys = pd.unique(np.concatenate([keys, needed(unpack(blob))]))
         return pd.DataFrame({"_block": parts["_block"].iloc[0], "key": keys.view(np.int64)})
 
     def run(parts: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
@@ -303,6 +318,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(own.filter(F.col("doc_id").isNotNull() & ~calibrating(F.col("doc_id"))).join(good, "doc_id", "left_semi"))
     rows = blocked(own.select(F.col("doc_id").cast("string").alias("doc_id"), text_hash().cast("string").alias("text_hash"), "lang", F.char_length("text").cast("string").alias("chars"), F.coalesce("text", F.lit("")).alias("text")))
     scored = written(score(rows, model, ["doc_id", "text_hash", "lang", "chars"]).withColumns({c: F.col(c).cast("long") for c in ("doc_id", "text_hash", "chars")}), "perplexities")
+    discard(docs.sparkSession, model)
     scored = scored.withColumn("surprise", F.col("log_perplexity") - SHORT / F.sqrt(F.greatest("chars", F.lit(1))))
     held = scored.filter("surprise IS NOT NULL")
     steps = F.percentile_approx("surprise", [k / STEPS for k in range(STEPS + 1)], 10000).alias("steps")
@@ -330,4 +346,5 @@ def text_hash() -> Column:
 def keep_fluent(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that are not rejected. A repeated row goes with all its copies."""
     out = classify(docs, labels).filter("rejected").select(F.col("doc_id").alias("_rejected_id"), F.col("text_hash").alias("_rejected_text")).distinct()
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_rejected_id")) & (text_hash() == F.col("_rejected_text")), "left_anti")
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")), F.coalesce(docs["lang"], F.lit("")))
+    return docs.join(out, docs["doc_id"].eqNullSafe(out["_rejected_id"]) & (own == out["_rejected_text"]), "left_anti")

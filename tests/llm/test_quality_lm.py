@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 from itertools import groupby
 
@@ -75,6 +76,38 @@ def test_junk_goes_and_prose_stays_whatever_the_blocks(spark, documents, prose,
     assert kept.schema == documents(rows).schema and kept.count() == len(rows) - 12
 
 
+def test_columns_of_any_name_stay(documents, spark, prose):
+    junk = "#$%&*!|@^~" * 30
+    docs = documents([(i, prose(80, i)) for i in range(60)] + [(99, junk)]).withColumnsRenamed({"n": "_rejected_id", "words": "_rejected_text", "score": "text_hash"})
+    kept = ql.keep_fluent(docs, spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(99, 0, 0)], LABELS))
+    assert kept.columns == docs.columns and 99 not in {r.doc_id for r in kept.collect()}
+
+
+@pytest.mark.parametrize("n", [19, 20])
+def test_a_language_of_few_labels_takes_the_cut_over_all(spark, documents, prose, n):
+    """Cuts and rejections against plain Python, on either side of LEAST_CALIBRATION."""
+    calibrating = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 1]
+    others = [i for i in range(600) if i not in calibrating][:60]
+    rng = random.Random(1)
+    rows = [(i, prose(60, i), "en") for i in calibrating[:60] + others]
+    rows += [(i, prose(60, i).upper(), "fr") for i in calibrating[60 : 60 + n]] + [(1000 + i, prose(60, i).upper(), "fr") for i in range(40) if zlib.crc32(str(1000 + i).encode()) % 5 != 1]
+    bad = [(2000 + i, "".join(rng.choice("#$%&*!|@^~QXZ0123456789") for _ in range(300)), "en" if i < 30 else "fr") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows] + [(i, 0, 0) for i, *_ in bad], LABELS)
+    got = ql.classify(documents(rows + bad), labels).collect()
+
+    def cut(langs):
+        good = [r.surprise for r in got if r.lang in langs and r.doc_id < 2000 and zlib.crc32(str(r.doc_id).encode()) % 5 == 1]
+        poor = [r.surprise for r in got if r.lang in langs and r.doc_id >= 2000]
+        at = sorted({*good, *poor})
+        lost = [sum(x > a for x in good) / len(good) + sum(x <= a for x in poor) / len(poor) for a in at]
+        k = lost.index(min(lost))
+        return sum(at[k : k + 2]) / len(at[k : k + 2])
+
+    for r in got:
+        want = cut(("fr",)) if r.lang == "fr" and n >= 20 else cut(("en",)) if r.lang == "en" else cut(("en", "fr"))
+        assert r.cut == pytest.approx(want) and r.rejected == (r.surprise > r.cut)
+
+
 def test_without_trusted_text_nothing_goes(spark, documents, prose):
     none = spark.createDataFrame([], LABELS)
     assert [r.rejected for r in ql.classify(documents([(1, prose(20, 1)), (2, None)]), none).collect()] == [False, False]
