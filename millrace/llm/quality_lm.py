@@ -44,8 +44,10 @@ from .runtime import Workspace, bounded, codepoints, discard, written
 
 ORDER = 5
 PAD = 2
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 40 << 20
 CHUNK_CHARS = 1 << 20
+#: Documents are packed once and cross one shuffle.
+PACK_LEVEL = 9
 QUANTILE, SHORT, LEAST_CALIBRATION = 0.98, 4.0, 20
 #: Steps of the quantiles of each kind that a cut is looked for among.
 STEPS = 1000
@@ -181,7 +183,8 @@ def blocked(docs: DataFrame) -> DataFrame:
     large = docs.groupBy(lang.alias("lang")).agg((F.sum(F.char_length("text")) / BLOCK_CHARS).alias("n")).filter("n > 1").collect()
     several = F.create_map(*(F.lit(x) for r in large for x in (r["lang"], math.ceil(r["n"])))) if large else None
     blocks = F.coalesce(F.try_element_at(several, lang), F.lit(1)) if large else F.lit(1)
-    return docs.withColumn("_block", F.xxhash64(lang, F.pmod(F.xxhash64("doc_id", "text_hash"), blocks)))
+    # Small numbers, as every key that crosses a shuffle carries one. Languages whose hashes agree share blocks, which are taken apart by language.
+    return docs.withColumn("_block", F.pmod(F.xxhash64(lang), F.lit(256)) + 256 * F.pmod(F.xxhash64("doc_id", "text_hash"), blocks))
 
 
 class Lookup:
@@ -253,7 +256,7 @@ def needed(frame: pd.DataFrame) -> np.ndarray:
 def pack(frame: pd.DataFrame) -> bytes:
     table = pa.Table.from_pandas(frame, preserve_index=False)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACK_LEVEL))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
