@@ -18,24 +18,26 @@ All of it is DataFrame operations.
 
 Defined results: null and empty texts have an empty fingerprint; the likeness
 of two empty fingerprints is 1, of one to another 0. The order of documents is
-by doc_id descending, nulls last, ties by text; the document after the last one
-is the first. Other columns are not read; an empty table gives no rows.
+by doc_id descending, nulls last, ties by the text's 64-bit hash (then by text);
+the document after the last one is the first. Rows that share an id are spread
+by that hash; rows that share id and text stay together. Other columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import bounded, written
-
 K, S = 5, 2
 SHORT, SHORT_K, SHORT_S = 48, 4, 2
 HASH_BITS = 48
 #: The bit that anchors of characters have.
 CHARS = 1 << HASH_BITS - 1
-#: Documents of a run that is put in order together, on average.
-RUN = 16384
+#: Documents of a run that is put in order together, on average; sampled positions for each run; and the most runs whose bounds the driver holds, three numbers each.
+RUN, PER_RUN, MOST_RUNS = 1024, 16, 1 << 15
 
 
 def sliding_min(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -115,27 +117,47 @@ def printed(anchors: str, at: str) -> Column:
     return F.array_join(F.zip_with(anchors, at, lambda h, p: F.concat(F.lower(F.lpad(F.hex(h), HASH_BITS // 4, "0")), F.lit(":"), p.cast("string"))), " ")
 
 
+def position() -> Column:
+    """A document's place as a struct that sorts by doc_id descending, nulls last, ties by the text's hash. Negation would overflow; the complement can't."""
+    return F.struct(F.col("doc_id").isNull().alias("absent"), F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).alias("id"), F.xxhash64("text").alias("hash"))
+
+
+def run_starts(rows: DataFrame) -> list[tuple]:
+    """The first position of all, then those at which runs of about RUN documents begin: every PER_RUN-th of a sample of positions by hash, MOST_RUNS of them at most."""
+    places = rows.select(position().alias("at"))
+    n, first = places.agg(F.count("*"), F.min("at")).first()
+    if not n:
+        return []
+    runs = min(MOST_RUNS, max(1, n // RUN))
+    one_in = max(1, n // (runs * PER_RUN))
+    sample = places.filter(F.pmod(F.xxhash64("at", F.lit(7)), F.lit(one_in)) == 0).distinct() if runs > 1 else None
+    found = sorted(tuple(r["at"]) for r in sample.collect()) if runs > 1 else []
+    return [tuple(first), *(x for x in found[:: max(1, len(found) // runs)] if x > tuple(first))]
+
+
+def before_or_at(starts: Column, at: Column, n: int) -> Column:
+    """How many of n ascending ``starts`` are not after ``at``, by bisection."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda low, hop: F.when(F.get(starts, low + hop - 1) <= at, low + hop).otherwise(low))
+
+
 def with_next(rows: DataFrame, carried: list[str], ahead: list[str]) -> DataFrame:
-    """doc_id, the carried columns, and next: the columns ``ahead`` of the document that follows by doc_id descending; the first one's to the last.
+    """doc_id, the carried columns, and next: the columns ``ahead`` of the document that follows; the first one's to the last.
 
-    Rows are dealt to runs of neighbouring ids. Each run also gets the first row of the run after it, so one exchange of the rows is enough.
+    Rows are dealt to runs that lie side by side. The first row of a run is known from the run's bound and also goes to the run before it, so one exchange of the rows is enough.
     """
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    runs = max(1, -(-n // RUN))
-    span = (high - low + 1) if n else 1
-    run = F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id") - F.lit(low or 0)) * (runs / span))).cast("long")
-    placed = rows.withColumn("_run", run)
-    # A row for each run: its first id, and the run before it, which takes it as its end.
-    heads = placed.groupBy("_run").agg(F.max("doc_id").alias("_head"))
-    order = Window.orderBy(F.desc("_run"))
-    top = Window.orderBy(F.desc("_run")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    borders = heads.select("_head", F.coalesce(F.lag("_run").over(order), F.last("_run").over(top)).alias("_to"))
-    borders = bounded(written(borders, "borders"))
-    placed = placed.join(borders, placed["doc_id"].eqNullSafe(borders["_head"]), "left")
+    starts = run_starts(rows)
+    n = len(starts)
+    if not n:
+        return rows.select("doc_id", *carried, F.struct(*ahead).alias("next"))
+    table = F.from_json(F.lit(json.dumps([dict(zip(("absent", "id", "hash"), x, strict=True)) for x in starts])), "array<struct<absent:boolean,id:bigint,hash:bigint>>")
+    placed = rows.withColumn("_at", position())
+    placed = placed.withColumn("_run", before_or_at(table, F.col("_at"), n) - 1)
     own = F.struct(F.col("_run").alias("run"), F.lit(False).alias("copy"))
-    both = F.array(own, F.struct(F.col("_to").alias("run"), F.lit(True).alias("copy")))
-    dealt = placed.withColumn("_place", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(both))).select("doc_id", *carried, "_place.*")
-    within = Window.partitionBy("run").orderBy("copy", F.desc_nulls_last("doc_id"), "text")
+    ending = F.struct(F.pmod(F.col("_run") - 1, F.lit(n)).alias("run"), F.lit(True).alias("copy"))
+    dealt = placed.withColumn("_place", F.explode(F.when(F.get(table, F.col("_run")) == F.col("_at"), F.array(own, ending)).otherwise(F.array(own))))
+    dealt = dealt.select("doc_id", *carried, "_at", "_place.run", "_place.copy")
+    within = Window.partitionBy("run").orderBy("copy", "_at", "text")
     return dealt.withColumn("next", F.lead(F.struct(*ahead)).over(within)).filter("NOT copy")
 
 

@@ -10,8 +10,14 @@ from millrace.llm import syncmers as sy
 from tests.llm.conftest import ODD_TEXTS
 
 
-def edited(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+def in_order(spark, rows):
+    """doc_id descending, nulls last, ties by the text's hash."""
+    frame = spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(rows)], "k long, t string")
+    hashes = {r.k: r.h for r in frame.select("k", F.xxhash64("t").alias("h")).collect()}
+    return [rows[k] for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, -(rows[k][0] or 0), hashes[k]))]
+
+
+def edited(order):
     texts = [t or "" for _, t in order]
     out = []
     for k, (i, _) in enumerate(order):
@@ -21,12 +27,79 @@ def edited(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("run", [3, 16384])
-def test_edited_texts_follow_descending_ids(documents, prose, monkeypatch, run):
+@pytest.mark.parametrize("run", [1, 3, 16384])
+def test_edited_texts_follow_descending_ids(spark, documents, prose, monkeypatch, run):
     monkeypatch.setattr(sy, "RUN", run)
-    rows = [(i * i, prose(30 + i, i)) for i in range(20)] + [(5000, "é" * 7), (7, "tie a"), (7, "tie b"), (7, "tie b"), (None, "no id"), (-3, "negative ñ")] + [(300 + i, t) for i, t in enumerate(ODD_TEXTS)]
+    rows = [(i * i, prose(30 + i, i)) for i in range(20)] + [(5000, "é" * 7), (7, "tie a"), (7, "tie b"), (7, "tie b"), (None, "no id"), (None, "none either"), (-3, "negative ñ")] + [(300 + i, t) for i, t in enumerate(ODD_TEXTS)]
+    rows += [(6 * 10**18, "far up " * 9), (-6 * 10**18, "far down " * 9), (2**63 - 1, "the most"), (-(2**63), "the least")]
     got = sorted((tuple(r)[:3] for r in sy.fingerprints(documents(rows)).collect()), key=repr)
-    assert got == edited(rows)
+    assert got == edited(in_order(spark, rows))
+
+
+def test_one_id_for_most_rows_is_spread(documents, monkeypatch):
+    monkeypatch.setattr(sy, "RUN", 20)
+    docs = documents([(7, f"text {i}") for i in range(400)] + [(i, f"other {i}") for i in range(200)]).select("doc_id", "text")
+    starts = sy.run_starts(docs)
+    assert len(starts) > 15
+    placed = docs.withColumn("at", sy.position()).withColumn("run", F.lit(0)).collect()
+    sizes = [0] * len(starts)
+    for r in placed:
+        sizes[sum(s <= tuple(r["at"]) for s in starts) - 1] += 1
+    assert max(sizes) < 120
+
+
+def plain_anchors(rows, text):
+    """Anchors by the definition, from the session's hashes of words, characters and stretches of them."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    kinds = [(words, sy.K, sy.S, 1)] + ([(list(text), sy.SHORT_K, sy.SHORT_S, 2)] if len(words) < sy.SHORT else [])
+    out = []
+    for tokens, k, s, seed in kinds:
+        inner = [rows["inner", tuple(tokens[i : i + s])] for i in range(len(tokens) - s + 1)]
+        for i in range(len(tokens) - k + 1):
+            own = inner[i : i + k - s + 1]
+            if min(own) in (own[0], own[-1]):
+                h = (rows["kmer", seed, tuple(tokens[i : i + k])] & (1 << 64) - 1) >> 65 - sy.HASH_BITS
+                out.append((h if seed == 1 else h | sy.CHARS, i))
+    if not out and text:
+        h = (rows["whole", text] & (1 << 64) - 1) >> 65 - sy.HASH_BITS
+        out.append((h | sy.CHARS, 0))
+    return out
+
+
+def test_results_against_plain_python(spark, documents, prose):
+    """Printed fingerprints and both likenesses of every row."""
+    rows = [(i, prose(20 + 6 * i, i // 2)) for i in range(14)] + [(50, "ab"), (51, ""), (52, None), (53, "one two three"), (54, "same same same same same same same")]
+    order = [(i, t or "") for i, t in in_order(spark, rows)]
+    full = []
+    for k, (i, t) in enumerate(order):
+        m = len(t) // 3
+        full.append((i, t, t[: len(t) - m] + order[(k + 1) % len(order)][1][:m], order[(k + 1) % len(order)][1]))
+    stretches, texts = set(), {x for r in full for x in r[1:]}
+    for t in texts:
+        for tokens, k, s, seed in ((re.findall(r"[^\x20\x09-\x0D]+", t), sy.K, sy.S, 1), (list(t), sy.SHORT_K, sy.SHORT_S, 2)):
+            stretches |= {("inner", 0, tuple(tokens[i : i + s])) for i in range(len(tokens) - s + 1)} | {("kmer", seed, tuple(tokens[i : i + k])) for i in range(len(tokens) - k + 1)}
+    frame = spark.createDataFrame([(kind, seed, list(x)) for kind, seed, x in stretches], "kind string, seed int, x array<string>")
+    tokens = F.transform("x", lambda w: F.xxhash64(w))
+    known = {}
+    for r in frame.select("kind", "seed", "x", F.xxhash64(tokens).alias("inner"), F.xxhash64("seed", tokens).alias("kmer")).collect():
+        known[("inner", tuple(r.x)) if r.kind == "inner" else ("kmer", r.seed, tuple(r.x))] = r.inner if r.kind == "inner" else r.kmer
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64(F.lit(3), "t").alias("h")).collect():
+        known["whole", r.t] = r.h
+
+    def like(a, b):
+        x, y = ({h for h, _ in plain_anchors(known, t)} for t in (a, b))
+        has = [any(h >= sy.CHARS for h in z) for z in (x, y)]
+        if not x and not y:
+            return 1.0
+        if has[0] != has[1]:
+            x, y = ({h for h in z if h < sy.CHARS} for z in (x, y))
+        return len(x & y) / max(len(x | y), 1)
+
+    got = {r.doc_id: r for r in sy.fingerprints(documents(rows)).collect()}
+    for i, t, changed, after in full:
+        text = lambda z: " ".join(f"{h:012x}:{p}" for h, p in plain_anchors(known, z))
+        assert got[i].fingerprint == text(t) and got[i].edited_fingerprint == text(changed)
+        assert got[i].near_edited == pytest.approx(like(t, changed)) and got[i].near_next == pytest.approx(like(t, after))
 
 
 def test_one_document_and_none(documents):
