@@ -1,6 +1,6 @@
 """Token ids in grammar-compressed binary files, read back by document.
 
-Documents are range-partitioned and sorted by (doc_id, text), nulls first,
+Documents are range-partitioned and sorted by doc_id, nulls first, then by the text's hash,
 encoded, closed by an end id and written as shards of some two million ids.
 Within a shard frequent pairs of ids give way to nonterminals, round after
 round, each round taking all pairs that are frequent enough at once; no pair
@@ -8,8 +8,9 @@ spans two documents. A shard keeps its rules, the length of each rule's
 expansion and where each document begins, in symbols and in ids, so a document
 or a stretch of it is decoded without the rest.
 
-A task writes under a name of its own and renames, so a retried task leaves
-the same shard. Only the manifest, itself a written table, says what is read.
+Every attempt of a task writes under names of its own. The manifest, itself a
+written table, holds the names of the attempt that Spark has accepted, and only
+it says what is read; no file is renamed or written twice.
 
 Defined results: null and empty texts are the end id alone; a null doc_id
 sorts first and comes back null; repeated doc_ids are documents of their own;
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 import functools
 import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import tiktoken
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,28 +44,110 @@ from .runtime import filesystem, scratch, written
 
 MAGIC = b"MILLRPR1"
 SHARD_IDS = 1 << 21
-#: A round keeps at most so many of the most frequent pairs (those that miss out meet the next round), of at least so many occurrences each.
-PAIRS_A_ROUND, LEAST_COUNT = 2048, 64
-#: Rounds end when one shortens the shard by less than this share.
-LEAST_GAIN = 0.04
+#: A rule takes RULE_BYTES in the file and saves a symbol's bytes each time it is used, so a pair must occur often enough
+#: to repay that twice over (overlapping pairs lose places to each other). A round keeps at most so many of the most
+#: frequent pairs; those that miss out meet the next round.
+PAIRS_A_ROUND, RULE_BYTES = 4096, 12
+#: Rounds end when one saves less than this share of the symbols' bytes, or when the symbols of the narrower width are used up, as the wider one would cost more than any rule saves.
+LEAST_GAIN = 0.002
 NONE = -1
 
 
+#: Characters that a stretch of a text may hold if it is to be encoded by itself end at ASCII white space; texts with other space, separators or marks are encoded whole.
+PIECES = re.compile("[ \\t\\n\\r\\f\\v]*[^ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+")
+ODD = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+BLOCK_CHARS, KNOWN_PIECES, RUN_PIECES = 1 << 22, 1 << 18, 4096
+
+
+class Encoder:
+    """Ids of the tokenizers library, which is asked for each distinct piece of a block of texts.
+
+    A piece is a run of ASCII white space and what follows it up to the next one. A byte-level pre-tokeniser with the
+    usual pattern always cuts between a character that is no space and one that is, so the pieces' ids, one after the
+    other, are the text's. Pieces that begin with a space are encoded in joined runs for the same reason, and the ids
+    dealt back by the bytes that they stand for. Where the file's settings are others, every text goes to the library as
+    a whole, as do texts that hold an added token or space beyond ASCII.
+    """
+
+    def __init__(self, vocab_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        with open(vocab_json, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.library = tokenizers.Tokenizer.from_str(json.dumps(spec))
+        pre = spec.get("pre_tokenizer") or {}
+        by_bytes = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.in_pieces = bool(by_bytes and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.whole = re.compile("|".join([ODD.pattern, *map(re.escape, added)]))
+        vocab = self.library.get_vocab()
+        self.first = max(vocab.values()) + 1
+        self.n_bytes = np.zeros(self.first, np.int64)
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token)  # a character for each byte
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.width = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Adds pieces that are not yet known, each once."""
+        spaced = [p for p in pieces if p[0] in " \t\n\r\f\v" and p[-1] not in " \t\n\r\f\v"]
+        others = sorted(set(pieces).difference(spaced))
+        runs = [spaced[k : k + RUN_PIECES] for k in range(0, len(spaced), RUN_PIECES)]
+        parts, widths = [self.flat], [self.width]
+        for run, ids in zip(runs, self.ids(["".join(r) for r in runs]), strict=True):
+            ends = np.cumsum([len(p.encode()) for p in run])
+            parts.append(ids)
+            widths.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "right"), prepend=0))
+        for ids in self.ids(others):
+            parts.append(ids)
+            widths.append(np.array([len(ids)]))
+        for p in [*spaced, *others]:
+            self.known[p] = len(self.known)
+        self.flat, self.width = np.concatenate(parts), np.concatenate(widths)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        whole = [k for k, t in enumerate(texts) if not self.in_pieces or self.whole.search(t)]
+        for k, ids in zip(whole, self.ids([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        block, size, left = [], 0, sorted(set(range(len(texts))).difference(whole))
+        for k in left:
+            block.append(k)
+            size += len(texts[k])
+            if size >= BLOCK_CHARS or k == left[-1]:
+                for at, ids in zip(block, self.block([texts[b] for b in block]), strict=True):
+                    out[at] = ids
+                block, size = [], 0
+        return out
+
+    def block(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > KNOWN_PIECES:
+            self.forget()
+        cut = [PIECES.findall(t) for t in texts]
+        pieces = [p for c in cut for p in c]
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        if new:
+            self.learn(new)
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        begin = np.cumsum(self.width) - self.width
+        n = self.width[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(begin[number] - ends[:-1], n) + np.arange(ends[-1])]
+        return np.split(ids, ends[np.cumsum([len(c) for c in cut])[:-1]])
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(vocab_json: str) -> tuple[tiktoken.Encoding, int]:
-    """The byte-level BPE of a tokenizers file, and the first id beyond it. Same ids, found by a faster library."""
-    with open(vocab_json, encoding="utf-8") as f:
-        spec = json.load(f)
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
-    ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), max([*ranks.values(), *special.values()]) + 1
+def encoder(vocab_json: str) -> Encoder:
+    return Encoder(vocab_json)
 
 
 def encode(vocab_json: str, text: str) -> np.ndarray:
-    return encoder(vocab_json)[0].encode_to_numpy(text, allowed_special="all").astype(np.int64)
+    return encoder(vocab_json)([text])[0].astype(np.int64)
 
 
 def pair_keys(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -72,15 +157,15 @@ def pair_keys(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
     return keys
 
 
-def frequent(keys: np.ndarray) -> np.ndarray:
-    """The most frequent pairs, most frequent first, ties by the smaller pair."""
+def frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
+    """The ``most`` most frequent pairs that occur ``least`` times, most frequent first, ties by the smaller pair."""
     order = np.sort(keys)
     first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, np.int64)
     counts = np.diff(np.append(first, len(order)))
     pairs = order[first]
     counts[pairs == NONE] = 0
-    best = np.argsort(-counts, kind="stable")[:PAIRS_A_ROUND]
-    return pairs[best[counts[best] >= LEAST_COUNT]]
+    often = np.flatnonzero(counts >= least)
+    return pairs[often[np.argsort(-counts[often], kind="stable")[:most]]]
 
 
 def repair(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,10 +173,11 @@ def repair(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarray,
     seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
     last[starts[1:] - 1] = True
     rules: list[np.ndarray] = []
-    n_rules, gain = 0, 1.0
-    while gain >= LEAST_GAIN and len(seq) > 1:
+    width = 2 if first < 1 << 16 else 4
+    n_rules, gain, room = 0, len(seq), (1 << 8 * width) - first
+    while gain >= LEAST_GAIN * width * len(seq) and len(seq) > 1 and room > n_rules:
         keys = pair_keys(seq, last)
-        pairs = frequent(keys)
+        pairs = frequent(keys, min(PAIRS_A_ROUND, room - n_rules), 2 * RULE_BYTES // width)
         if not len(pairs):
             break
         slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
@@ -110,7 +196,7 @@ def repair(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarray,
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        gain = len(at) / len(seq)
+        gain = width * len(at) - RULE_BYTES * len(pairs)
         seq, last = seq[keep], last[keep]
         rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
         n_rules += len(pairs)
@@ -193,27 +279,26 @@ def write_shards(docs: DataFrame, vocab_json: str, end_id: int, folder: str) ->
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         part, k = TaskContext.get().partitionId(), 0
-        _, first = encoder(vocab_json)
+        first = encoder(vocab_json).first
         doc_ids: list[int | None] = []
         parts: list[np.ndarray] = []
 
         def flush() -> pd.DataFrame:
             nonlocal k, doc_ids, parts
-            name = f"{base}/tokens-{part:06d}-{k:06d}.bin"
+            name = f"{base}/tokens-{part:06d}-{k:06d}-{uuid.uuid4().hex}.bin"
             blob = pack(doc_ids, parts, first)
-            own = f"{name}.{uuid.uuid4().hex}"
-            with fs.open_output_stream(own) as f:
+            with fs.open_output_stream(name, compression=None) as f:
                 f.write(blob)
-            fs.move(own, name)
             row = {"part": part, "shard": k, "path": f"{folder}/{name.rsplit('/', 1)[1]}", "n_docs": len(doc_ids), "n_ids": sum(map(len, parts)), "n_bytes": len(blob)}
             k, doc_ids, parts = k + 1, [], []
             return pd.DataFrame([row])
 
         held = 0
         for frame in frames:
-            for doc_id, null, text in zip(frame["doc_id"], frame["absent"], frame["text"], strict=True):
+            encoded = encoder(vocab_json)([t or "" for t in frame["text"]])
+            for doc_id, null, ids in zip(frame["doc_id"], frame["absent"], encoded, strict=True):
                 doc_ids.append(None if null else int(doc_id))
-                parts.append(np.append(encode(vocab_json, text or ""), end_id))
+                parts.append(np.append(ids, end_id))
                 held += len(parts[-1])
                 if held >= SHARD_IDS:
                     yield flush()
@@ -221,7 +306,7 @@ def write_shards(docs: DataFrame, vocab_json: str, end_id: int, folder: str) ->
         if doc_ids:
             yield flush()
 
-    rows = docs.select("doc_id", "text").repartitionByRange(max(1, docs.rdd.getNumPartitions()), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text").repartitionByRange(max(1, docs.rdd.getNumPartitions()), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows = rows.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("absent"), "text")
     return written(rows.mapInPandas(run, "part long, shard long, path string, n_docs long, n_ids long, n_bytes long"), "manifest")
 
@@ -245,7 +330,7 @@ def map_shards(manifest: DataFrame, tasks: int, derive, schema: str) -> DataFram
         for frame in frames:
             for path, first in zip(frame["path"], frame["first"], strict=True):
                 fs, name = filesystem(path)
-                with fs.open_input_stream(name) as f:
+                with fs.open_input_stream(name, compression=None) as f:
                     shard = Shard(f.read())
                 rows = [derive(shard.ids(k)) for k in range(len(shard.doc_id))]
                 ids = pd.array(shard.doc_id, "Int64")

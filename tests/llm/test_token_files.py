@@ -1,11 +1,14 @@
 """Grammar-compressed shards: exact round trips, random access, the library's ids."""
 
+import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 from millrace.llm import token_files as tf
 from tests.llm.conftest import ODD_TEXTS
@@ -23,6 +26,45 @@ def test_ids_are_the_librarys(library, prose):
         assert tf.encode(VOCAB, text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+SPACES = [" ", "  ", "\n", " \n", "\t ", "\x0b", "\x0c", "\r\n", "\x1c", "\x1f ", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u3000", "\ufeff", "<|endoftext|>", "'s", "'", "!", "12", "½", "é", "e\u0301", "日本", "😀", "\x00", "ab", "Zz"]
+
+
+def test_pieces_give_the_librarys_ids_whatever_stands_side_by_side(library):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(SPACES) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    got = tf.Encoder(VOCAB)(texts)
+    assert [g.tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_all_supplied_documents_and_a_forgetful_encoder(library, monkeypatch):
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [g.tolist() for g in tf.Encoder(VOCAB)(texts)] == want
+    monkeypatch.setattr(tf, "KNOWN_PIECES", 100)
+    monkeypatch.setattr(tf, "BLOCK_CHARS", 1000)
+    assert [g.tolist() for g in tf.Encoder(VOCAB)(texts[:200])] == want[:200]
+
+
+def test_other_settings_of_the_file_are_kept(tmp_path):
+    import json
+
+    spec = json.loads(open(VOCAB, encoding="utf-8").read())
+    spec["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    assert tf.Encoder(str(path))(["Some TEXT here"])[0].tolist() == tf.encode(VOCAB, "some text here").tolist()
+
+
+def test_shards_shrink_and_stay_narrow(library):
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()]
+    parts = [np.append(x, 2) for x in tf.Encoder(VOCAB)(texts)]
+    blob = tf.pack(list(range(len(parts))), parts, 50257)
+    assert len(blob) < 0.75 * 2 * sum(map(len, parts))
+    shard = tf.Shard(blob)
+    assert shard.first + len(shard.rules) <= 1 << 16
+    assert all((shard.ids(k) == p).all() for k, p in enumerate(parts))
+
+
 @pytest.mark.parametrize("kind", ["prose", "constant", "alternating", "random", "tiny"])
 def test_shard_round_trip_and_slices(kind):
     rng = np.random.default_rng(3)
@@ -46,11 +88,13 @@ def test_shard_round_trip_and_slices(kind):
         assert shard.length.tolist() == [len(shard.expand(np.array([shard.first + r]))) for r in range(len(shard.rules))]
 
 
-def test_files_hold_documents_in_order(documents, library, prose):
+def test_files_hold_documents_in_order(spark, documents, library, prose):
     rows = [(9, prose(40, 1)), (2, None), (-5, "x"), (None, "no id"), (7, "b"), (7, "a"), (7, "a"), *((100 + i, t) for i, t in enumerate(ODD_TEXTS))]
     got = [tuple(r) for r in tf.file_digests(documents(rows), VOCAB).orderBy("start").collect()]
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "k long, t string")
+    hashes = {r.k: r.h for r in frame.select("k", F.xxhash64("t").alias("h")).collect()}
+    for _, (i, t) in sorted(enumerate(rows), key=lambda r: (r[1][0] is not None, r[1][0] or 0, hashes[r[0]])):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
