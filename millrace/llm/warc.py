@@ -8,7 +8,8 @@ whose Content-Length still tells the payload's size.
 The reader needs no index: a task gets a byte range of a file, scans it for the
 gzip magic, takes a candidate for a member only if it inflates to a WARC
 header, and owns the records whose members start inside its range, reading on
-beyond its end for the last of them. Payload digests are verified.
+beyond its end for the last of them. Payloads are digested as they are read, and
+one that differs from its header fails the round trip.
 
 Defined results: a null html is an empty payload; a null page_id is written as
 an empty field and read back as null, and never is what others refer to unless
@@ -23,7 +24,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -31,12 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import filesystem, scratch, written
+from .runtime import Workspace, bounded, filesystem, scratch, written
+
+#: What writes an intermediate table.
+Store = Callable[[DataFrame, str], DataFrame]
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST_PAYLOAD = 1000
 ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 4 << 20
+#: What a reading task gets, in splits.
+TASK_BYTES = 64 << 20
 STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:millrace:page:"
@@ -76,35 +82,37 @@ def headers(data: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def plan_records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """page_id, url, html, payload_digest, refers_to (null: a response)."""
+def plan_records(pages: DataFrame, least: int = LEAST_PAYLOAD, store: Store = written) -> DataFrame:
+    """page_id, url, html, payload_digest, refers_to (null: a response).
+
+    Only digests are grouped. Payloads that occur once need no entry, and the others' heads are broadcast if their count is within the bound, so pages are not dealt anew.
+    """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"), F.octet_length(html).alias("n"))
     heads = rows.filter(F.col("n") >= least).groupBy("payload_digest", "n").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    heads = bounded(store(heads, "heads"))
     other = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     return rows.join(heads, ["payload_digest", "n"], "left").select("page_id", "url", "html", "payload_digest", F.when(other, F.col("head")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Archives of plan_records' rows below ``folder``; the manifest (path, n_bytes). Files appear under their final names only when whole."""
+    """Archives of plan_records' rows below ``folder``; the manifest (path, n_bytes). Every attempt of a task writes under names of its own, and the manifest holds those of the accepted one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
-        part, k, size, out, own = TaskContext.get().partitionId(), 0, 0, None, ""
+        part, k, size, out, name = TaskContext.get().partitionId(), 0, 0, None, ""
         info = member({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:millrace:part:{part}>", "WARC-Date": date, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
 
         def close() -> pd.DataFrame:
             out.close()
-            name = f"pages-{part:06d}-{k:06d}.warc.gz"
-            fs.move(own, f"{base}/{name}")
             return pd.DataFrame({"path": [f"{folder}/{name}"], "n_bytes": [size]})
 
         for frame in frames:
             for page_id, url, html, digest, refers_to in frame.itertuples(index=False):
                 if out is None:
-                    own = f"{base}/{uuid.uuid4().hex}.part"
-                    out, size = fs.open_output_stream(own), len(info)
+                    name = f"pages-{part:06d}-{k:06d}-{uuid.uuid4().hex}.warc.gz"
+                    out, size = fs.open_output_stream(f"{base}/{name}", compression=None), len(info)
                     out.write(info)
                 data = page_record(page_id, url, html.encode(), digest, refers_to, date)
                 out.write(data)
@@ -129,7 +137,9 @@ class Range:
     def need(self, upto: int) -> bool:
         """Whether bytes before ``upto`` (in the file) are there, after reading them if they exist."""
         while self.base + len(self.data) < min(upto, self.size):
-            self.data += self.file.read(STEP)
+            if not (more := self.file.read(STEP)):
+                raise EOFError(f"file ends at {self.base + len(self.data)} of {self.size} bytes")
+            self.data += more
         return upto <= self.size
 
     def drop(self, before: int) -> None:
@@ -188,7 +198,10 @@ def read_range(file, size: int, start: int, end: int) -> Iterator[Record]:
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """A row per response or revisit record: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, verified."""
+    """A row per response or revisit record: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, verified.
+
+    A response's length and digest are those of the payload that was read, and verified tells whether its header agrees; a revisit has only its header's.
+    """
     splits = manifest.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
 
     def number(uri: str | None) -> int | None:
@@ -206,20 +219,24 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                         if kind not in ("response", "revisit"):
                             continue
                         stated = r.fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                        n = len(r.payload) if kind == "response" else int(r.http.get("content-length", 0))
-                        rows.append((number(r.fields.get("warc-record-id")), n, stated, kind, number(r.fields.get("warc-refers-to")), r.fields.get("warc-target-uri"), kind == "revisit" or hashlib.sha1(r.payload).hexdigest() == stated))
+                        if kind == "response":
+                            n, digest = len(r.payload), hashlib.sha1(r.payload).hexdigest()
+                        else:
+                            n, digest = int(r.http.get("content-length", 0)), stated
+                        rows.append((number(r.fields.get("warc-record-id")), n, digest, kind, number(r.fields.get("warc-refers-to")), r.fields.get("warc-target-uri"), digest == stated))
                 frame_out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "verified"])
                 yield frame_out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    tasks = max(1, manifest.sparkSession.sparkContext.defaultParallelism)
+    n_bytes = manifest.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, verified boolean"
     return splits.repartition(tasks, "path", "start").mapInPandas(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes all pages as archives and reads them back."""
-    # few archives of full size rather than one for each task that happens to hold rows
-    n_bytes = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // ARCHIVE_BYTES))
-    manifest = write_archives(plan_records(pages).coalesce(tasks), scratch(pages.sparkSession, "warc"))
-    return read_archives(manifest).drop("target_uri", "verified")
+    """Writes all pages as archives and reads them back; a record whose payload is not what its header says fails the job."""
+    with Workspace(pages.sparkSession) as work:
+        manifest = write_archives(plan_records(pages, store=work.written), scratch(pages.sparkSession, "warc"))
+    damaged = F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    read = read_archives(manifest).withColumn("payload_digest", F.when(F.col("verified"), F.col("payload_digest")).otherwise(damaged))
+    return read.drop("target_uri", "verified")

@@ -3,11 +3,12 @@
 import gzip
 import hashlib
 import io
+import os
 
 import pytest
 from pyspark.sql import types as T
 
-from millrace.llm import warc
+from millrace.llm import runtime, warc
 from millrace.llm.runtime import scratch
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("refers_to", T.StringType()), T.StructField("n", T.LongType())])
@@ -45,6 +46,27 @@ def test_every_record_is_owned_once_whatever_the_splits(spark, pages, split):
     assert sorted(r.page_id for r in got) == list(range(60)) and all(r.verified for r in got)
 
 
+def test_damage_is_seen(spark, pages, monkeypatch):
+    fields = {"WARC-Type": "response", "WARC-Record-ID": f"<{warc.ID}4>", "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{hashlib.sha1(b'x').hexdigest()}"}
+    folder = scratch(spark, "warc-test").removeprefix("file://")
+    os.makedirs(folder)
+    data = warc.member(fields, b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\ny")
+    with open(f"{folder}/a.warc.gz", "wb") as f:
+        f.write(data)
+    manifest = spark.createDataFrame([(f"file://{folder}/a.warc.gz", len(data))], "path string, n_bytes long")
+    [r] = warc.read_archives(manifest).collect()
+    assert not r.verified and r.payload_digest == hashlib.sha1(b"y").hexdigest()
+    monkeypatch.setattr(warc, "write_archives", lambda *_: manifest)
+    with pytest.raises(Exception, match="damaged record of page 4"):
+        warc.round_trip(pages([(1, "u", "x")])).collect()
+
+
+def test_heads_beyond_the_bound_are_joined(pages, monkeypatch):
+    monkeypatch.setattr(warc, "bounded", lambda df: runtime.bounded(df, 0))
+    rows = [(i, "u", "z" * (1000 + i % 3)) for i in range(12)]
+    assert sorted((tuple(r) for r in warc.round_trip(pages(rows)).collect()), key=repr) == brute(rows)
+
+
 def test_reader_rejects_false_magic_and_reads_plain_gzip(tmp_path):
     junk = warc.MAGIC + b"\x00" * 40 + warc.MAGIC
     records = [warc.page_record(str(i), f"http://x/{i}", b"<b>%d</b>" % i, hashlib.sha1(b"<b>%d</b>" % i).hexdigest(), None, "2024-01-01T00:00:00Z") for i in range(3)]
