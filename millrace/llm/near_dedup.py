@@ -16,7 +16,9 @@ pivots, and only pairs of a pivot and a member of another component are
 verified, on full sets. Verified links merge components; pivots leave the
 bucket; buckets within one component are done. Rounds go on until no bucket is
 open, with more pivots each, so every candidate pair is either verified, ruled
-out by its sizes, or within one component.
+out by its sizes, or within one component. The members of a hot bucket are dealt
+to salts, and its pivots are sent to each of them, so no task gets a bucket as a
+whole.
 
 Buckets that the first round leaves open with more than ``CROWD`` members are
 such as many documents with a passage in common fill without being alike. Their
@@ -29,7 +31,8 @@ only one of the crowd has can't be common to two, and of those in one of
 these numbers add up to bounds a pair's similarity and rules out nearly all
 pairs in a group of loose copies of one text. Partitions reduce their links by union-find; the
 forests are merged by moving links to the smallest neighbour until stars remain.
-Nothing of all this is collected.
+Nothing of all this is collected. The tables on the way are deleted when the
+groups are written.
 
 Defined results: null, empty and blank texts have an empty set and stay alone;
 rows that repeat a doc_id are one document with any of their texts; a row with
@@ -39,7 +42,7 @@ read, other columns are passed through by the filter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,8 +50,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bounded, discard, written
+from .runtime import Workspace, bounded, discard, written
 
+#: What writes an intermediate table.
+Store = Callable[[DataFrame, str], DataFrame]
 SHINGLE = 5
 BANDS, ROWS = 40, 4
 SLOTS = BANDS * ROWS
@@ -57,6 +62,8 @@ BLOCK_BYTES = 1 << 21
 #: Pivots of a bucket in the first round, and times as many in each round after it.
 FIRST_PIVOTS, MORE_PIVOTS = 2, 32
 CROWD = 8
+#: Members of a bucket that one task takes at least, and the most buckets that are split.
+SALT_MEMBERS, MOST_HOT = 512, 1 << 14
 #: Shingles of a prefix that its rows carry, to tell in which bucket a pair meets first.
 CARRIED = 16
 GROUPS = 64
@@ -199,7 +206,33 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def prefixes(texts: DataFrame, crowd: DataFrame) -> DataFrame:
+def hot_buckets(sizes: DataFrame) -> DataFrame:
+    """(bucket, salts) of the buckets, of a written table with their sizes, that more than one task should take.
+
+    Broadcast: a listed bucket has more than SALT_MEMBERS and more than one in MOST_HOT of all members, so there are never more than MOST_HOT rows.
+    """
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    least = max(SALT_MEMBERS, total // MOST_HOT)
+    return F.broadcast(sizes.filter(F.col("size") > least).select("bucket", F.ceil(F.col("size") / least).cast("long").alias("salts")))
+
+
+def salted(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """Deals the members (id) of hot buckets to their salts."""
+    return members.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+
+
+def on_every_salt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Repeats what a bucket's members are to meet for each of its salts."""
+    return rows.join(hot, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
+def meet(members: DataFrame, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """Members joined with a row for each bucket, of a written table (bucket, size, ...), no bucket in one task as a whole."""
+    hot = hot_buckets(sizes)
+    return salted(members, hot).join(on_every_salt(sizes, hot), ["bucket", "salt"], how).drop("salt")
+
+
+def prefixes(texts: DataFrame, crowd: DataFrame, store: Store = written) -> DataFrame:
     """(bucket, id, n, degree, c, first, groups): the prefixes of the crowd's sets (id, n, degree), shingles that two of them have at least; c: how many such a set has; first: the rarest of its prefix; groups: the shareable ones' numbers by hash.
 
     Those that only one has come first in a prefix and meet nothing, so they are counted but not kept.
@@ -214,16 +247,17 @@ def prefixes(texts: DataFrame, crowd: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(owner)], names=["bucket", "id"])
                 at += len(block)
 
-    rows = written(texts.join(crowd.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "bucket long, id long"), "shingles")
-    df = rows.groupBy("bucket").agg(F.count("*").alias("df")).filter("df > 1")
-    own = rows.join(df, "bucket").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "bucket"))).alias("own"))
+    rows = store(texts.join(crowd.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "bucket long, id long"), "shingles")
+    df = store(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "shingle-counts")
+    own = meet(rows, df).withColumnRenamed("size", "df").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "bucket"))).alias("own"))
     length = F.col("n") - F.ceil(SHARE * F.col("n") / 100) + 1
     own = own.join(crowd, "id").withColumn("c", F.size("own").cast("long"))
     own = own.withColumn("groups", F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.size(F.filter("own", lambda x: F.pmod(x["bucket"], F.lit(GROUPS)) == g))))
     own = own.withColumn("own", F.transform(F.slice("own", F.lit(1), F.greatest(length - (F.col("n") - F.col("c")), F.lit(0)).cast("int")), lambda x: x["bucket"]))
+    own = store(own, "prefixes")
     dealt = own.select(F.explode("own").alias("bucket"), "id", "n", "degree", "c", F.slice("own", 1, CARRIED).alias("first"), "groups")
-    least = dealt.groupBy("bucket").agg(F.min("n").alias("n_lo"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    return dealt.join(least, "bucket").filter(alike("n", F.greatest("n_lo", F.ceil(SHARE * F.col("n") / 100)), "c")).select("bucket", "id", "n", "degree", "c", "first", "groups")
+    least = store(dealt.groupBy("bucket").agg(F.min("n").alias("n_lo"), F.count("*").alias("size")).filter("size > 1"), "prefix-counts")
+    return meet(dealt, least).filter(alike("n", F.greatest("n_lo", F.ceil(SHARE * F.col("n") / 100)), "c")).select("bucket", "id", "n", "degree", "c", "first", "groups")
 
 
 def alike(n: str, other: Column | str, shareable: Column | str) -> Column:
@@ -283,36 +317,41 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    spark = docs.sparkSession
-    sets = written(sketch(docs), "sketches")
+    with Workspace(docs.sparkSession) as work:
+        return written(grouped(docs, work.written), "groups")
+
+
+def grouped(docs: DataFrame, store: Store) -> DataFrame:
+    sets = store(sketch(docs), "sketches")
     some = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = written(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
+    classes = store(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
     # a class's bands are its first document's
     firsts = some.join(classes.select("a", "b", "n", F.col("id").alias("doc_id")), ["a", "b", "n", "doc_id"], "left_semi")
     rows = firsts.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket", "size")
-    members = written(rows.join(shared, "bucket").distinct(), "buckets")
+    shared = store(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket", "size"), "shared")
+    members = store(meet(rows, shared).select("bucket", "id", "n", "size").distinct(), "buckets")
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    members, old = written(members.join(degree, "id").select("bucket", "id", "n", "degree", F.col("n").alias("c"), F.array().cast("array<bigint>").alias("first"), F.array().cast("array<int>").alias("groups")), "members"), members
-    discard(spark, old)
-    wanted = bounded(written(members.select("id").distinct(), "wanted"))
-    texts = written(docs.select(F.col("doc_id").alias("id"), "text").filter("id IS NOT NULL").join(wanted, "id", "left_semi"), "texts")
+    members = store(members.join(degree, "id").select("bucket", "id", "n", "degree", F.col("n").alias("c"), F.array().cast("array<bigint>").alias("first"), F.array().cast("array<int>").alias("groups")), "members")
+    wanted = bounded(store(members.select("id").distinct(), "wanted"))
+    texts = store(docs.select(F.col("doc_id").alias("id"), "text").filter("id IS NOT NULL").join(wanted, "id", "left_semi"), "texts")
     # rows that repeat a doc_id link the classes that they are in
     repeats = some.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
     same = some.join(repeats, "doc_id", "left_semi").join(classes, ["a", "b", "n"]).filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    label = components(written(same.distinct(), "repeats"))
+    label = components(store(same.distinct(), "repeats"))
     tested, pivots = None, FIRST_PIVOTS
     while True:
         placed = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        placed = written(placed.join(open_, "bucket", "left_semi"), "open")
-        if placed.isEmpty():
+        ends = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")]
+        open_ = store(placed.groupBy("bucket").agg(*ends).filter("lo < hi").select("bucket", "size"), "open-buckets")
+        if open_.isEmpty():
             break
+        hot = hot_buckets(open_)
+        placed = store(salted(placed, hot).join(on_every_salt(open_.select("bucket"), hot), ["bucket", "salt"], "left_semi"), "open")
         cell = F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots))
         best = placed.groupBy("bucket", cell.alias("cell")).agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n", "c", "component", "first", "groups")).alias("p"))
-        chosen = written(best.select("bucket", (-F.col("p.minus")).alias("a"), F.col("p.n").alias("n_a"), F.col("p.c").alias("c_a"), F.col("p.first").alias("first_a"), F.col("p.groups").alias("groups_a"), F.col("p.component").alias("component_a")), "pivots")
+        chosen = store(best.select("bucket", (-F.col("p.minus")).alias("a"), F.col("p.n").alias("n_a"), F.col("p.c").alias("c_a"), F.col("p.first").alias("first_a"), F.col("p.groups").alias("groups_a"), F.col("p.component").alias("component_a")), "pivots")
         met = F.get(F.array_intersect("first", "first_a"), F.lit(0))  # a pair is one of the first bucket that it shares
-        pairs = placed.join(chosen, "bucket").filter(F.coalesce(met == F.col("bucket"), F.lit(True))).filter((F.col("component") != F.col("component_a")) & (F.col("id") != F.col("a")))
+        pairs = placed.join(on_every_salt(chosen, hot), ["bucket", "salt"]).filter(F.coalesce(met == F.col("bucket"), F.lit(True))).filter((F.col("component") != F.col("component_a")) & (F.col("id") != F.col("a")))
         pairs = pairs.filter(alike("n", "n_a", F.least("c", "c_a")))
         both = F.aggregate(F.zip_with("groups", "groups_a", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
         pairs = pairs.filter(F.when((F.size("groups") > 0) & (F.size("groups_a") > 0), alike("n", "n_a", both)).otherwise(True))
@@ -320,17 +359,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = pairs.groupBy(F.least("a", "id").alias("lo"), F.greatest("a", "id").alias("hi")).agg(F.max("a").alias("a"))
         if tested is not None:
             pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = written(verified(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), texts), "verified")
+        pairs = store(pairs, "pairs")
+        new = store(verified(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), texts), "verified")
         tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
-        label = components(written(new.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))), "links"))
-        members = placed.join(chosen.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n", "degree", "c", "first", "groups")
+        label = components(store(new.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))), "links"))
+        members = placed.join(chosen.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "salt", "id", "n", "degree", "c", "first", "groups")
         if pivots == FIRST_PIVOTS:
-            members = written(members, "rest")
-            crowded = written(members.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > CROWD).select("bucket"), "crowded")
+            members = store(members, "rest")
+            crowded = store(members.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > CROWD).select("bucket"), "crowded")
             if not crowded.isEmpty():
-                crowd = written(members.join(crowded, "bucket", "left_semi").select("id", "n", "degree").distinct(), "crowd")
-                members = written(members.join(crowded, "bucket", "left_anti").unionByName(prefixes(texts, crowd)), "dealt")
+                of_crowd = on_every_salt(crowded, hot)
+                crowd = store(members.join(of_crowd, ["bucket", "salt"], "left_semi").select("id", "n", "degree").distinct(), "crowd")
+                calm = members.join(of_crowd, ["bucket", "salt"], "left_anti").drop("salt")
+                members = store(calm.unionByName(prefixes(texts, crowd, store)), "dealt").withColumn("salt", F.lit(0))
+        members = members.drop("salt")
         pivots *= MORE_PIVOTS
     many = classes.filter("copies > 1").select("a", "b", "n", "id")
     out = sets.select("doc_id", "n", "a", "b").join(many, ["a", "b", "n"], "left").withColumn("id", F.coalesce("id", "doc_id"))

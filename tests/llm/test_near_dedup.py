@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from millrace.llm import near_dedup as nd
 from tests.llm.conftest import ODD_TEXTS
@@ -54,6 +55,30 @@ def test_groups_equal_brute_force(spark, documents, prose):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize(("salt_members", "crowd", "forest_links"), [(3, 8, 1 << 20), (3, 2, 5), (512, 1000, 1 << 20)])
+def test_groups_whatever_the_splits(spark, documents, prose, monkeypatch, salt_members, crowd, forest_links):
+    """Hot buckets over many tasks, crowds dealt by prefixes or not, one forest or several."""
+    import random
+
+    for name, value in (("SALT_MEMBERS", salt_members), ("CROWD", crowd), ("FOREST_LINKS", forest_links)):
+        monkeypatch.setattr(nd, name, value)
+    rng, passage = random.Random(2), prose(90, 50)
+    rows = [(i, edited(prose(100, 3), rng, 0.04)) for i in range(40)] + [(100 + i, f"{prose(40, 60 + i)} {passage}") for i in range(25)] + [(200 + i, prose(60, 80 + i // 2)) for i in range(10)]
+    got = sorted(map(tuple, nd.near_duplicates(documents(rows)).collect()))
+    assert got == brute(rows)
+
+
+def test_hot_buckets_are_split_and_few(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SALT_MEMBERS", 10)
+    monkeypatch.setattr(nd, "MOST_HOT", 8)
+    sizes = spark.createDataFrame([(k, 12) for k in range(30)] + [(99, 400)], "bucket long, size long")
+    assert [tuple(r) for r in nd.hot_buckets(sizes).collect()] == [(99, 5)]
+    rows = spark.createDataFrame([(99, i) for i in range(400)] + [(3, i) for i in range(12)], "bucket long, id long")
+    assert nd.salted(rows, nd.hot_buckets(sizes)).groupBy("bucket", "salt").count().count() == 6
+    met = nd.meet(rows, sizes)
+    assert met.count() == 412 and met.columns == ["bucket", "id", "size"]
+
+
 def test_large_group_of_near_copies_whose_centre_has_a_high_id(spark, documents, prose):
     """Copies of one text, each linked to it and rarely to each other, and one exact group."""
     import random
