@@ -66,6 +66,9 @@ class CharacterMap:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = struct.unpack_from(f"<{size // 4}I", blob, 4) if blob else ()
         self.replacements = blob[4 + size :]
+        root = self._child(self.units[0]) if self.units else 0
+        #: Which bytes an entry may begin with.
+        self.begins = np.array([bool(self.units) and (root ^ b) < len(self.units) and self.units[root ^ b] & 0x800000FF == b for b in range(256)])
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length and replacement of the longest mapped prefix of data[at:]."""
@@ -95,19 +98,27 @@ class Normalizer:
         self.dummy_prefix, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
 
     def align(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """The normalised bytes; for each of them, and the end, the original byte where its character begins."""
+        """The normalised bytes; for each of them, and the end, the original byte where its character begins.
+
+        The walk by longest prefixes stops only at characters whose first byte begins an entry of the map; what lies between two entries is taken over in one go.
+        """
         if not data:
             return b"", np.zeros(1, np.int64)
-        return self._plain(data) if not self.map.units and not self.squeeze and self.escape else self._walk(data)
-
-    def _plain(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """As _walk, for a map without entries: only spaces change."""
+        if self.squeeze or not self.escape:
+            return self._walk(data)
         raw = np.frombuffer(data, np.uint8)
-        at = np.arange(len(raw), dtype=np.int64)
-        start = np.maximum.accumulate(np.where(raw & 0xC0 == 0x80, 0, at))
-        back = np.repeat(start, np.where(raw == 32, 3, 1))
-        head = [0, 0, 0] * self.dummy_prefix
-        return SPACE * self.dummy_prefix + data.replace(b" ", SPACE), np.concatenate([head, back, [len(raw)]]).astype(np.int64)
+        start = np.maximum.accumulate(np.where(raw & 0xC0 == 0x80, 0, np.arange(len(raw), dtype=np.int64)))
+        parts, back, done = [], [], 0
+        for at in np.flatnonzero(self.map.begins[raw] & (raw & 0xC0 != 0x80)).tolist():
+            if at >= done and (found := self.map.longest(data, at)) and found[0]:
+                parts += [data[done:at], found[1]]
+                back += [start[done:at], np.full(len(found[1]), at, np.int64)]
+                done = at + found[0]
+        new, origin = b"".join([*parts, data[done:]]), np.concatenate([*back, start[done:]])
+        origin = np.repeat(origin, np.where(np.frombuffer(new, np.uint8) == 32, len(SPACE), 1))
+        lead = len(SPACE) * bool(self.dummy_prefix and new)
+        first = origin[:1].repeat(lead)
+        return SPACE * bool(lead) + new.replace(b" ", SPACE), np.concatenate([first, origin, [len(raw)]])
 
     def _walk(self, data: bytes) -> tuple[bytes, np.ndarray]:
         chunks: list[tuple[bytes, int, int]] = []
@@ -201,9 +212,10 @@ def digest(c: PieceCodec, e: Encoding) -> dict:
         "ids_sha256": hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
         "decoded_sha256": hashlib.sha256(c.decode(e.ids).encode("utf-8", "surrogatepass")).hexdigest(),
         "n_bytes_covered": int((e.end - e.begin).sum()) if ids else 0,
+        "spans_sha256": hashlib.sha256(np.stack([e.begin, e.end]).astype("<i8").tobytes()).hexdigest(),
     }
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
-    """Digests of every document's ids and of the text they decode to; n_bytes_covered counts the original bytes that the spans cover."""
-    return map_encodings(docs, model_path, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes_covered long")
+    """Digests of every document's ids, of the text they decode to and of its pieces' spans (all begins, then all ends, as 64-bit little-endian); n_bytes_covered counts the original bytes that the spans cover."""
+    return map_encodings(docs, model_path, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes_covered long, spans_sha256 string")

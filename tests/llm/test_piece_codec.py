@@ -38,12 +38,25 @@ def test_longest_prefix_normalisation_through_a_compiled_map(text):
     assert len(back) == len(norm) + 1 and (np.diff(back) >= 0).all()
 
 
-def test_fast_alignment_equals_the_walk():
-    n = pc.codec(MODEL).normalizer
-    for text in TEXTS:
-        if text:
-            (a, x), (b, y) = n._plain(text.encode()), n._walk(text.encode())
-            assert a == b and x.tolist() == y.tolist()
+def test_alignment_in_stretches_equals_the_walk():
+    theirs = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    entries = next(dict(pc.proto_fields(v)) for k, v in pc.proto_fields(theirs.serialized_model_proto()) if k == 3)
+    for prefix in (0, 1):
+        mapped = pc.Normalizer({**entries, 3: prefix, 4: 0, 5: 1})
+        assert mapped.map.begins.sum() > 20
+        for n in (mapped, pc.codec(MODEL).normalizer):
+            for text in [*TEXTS, "ﬁ½ Ａ  é ㌀ x", "ｶﾞ 　z", "  lead  trail  ", "éä" * 50, "\u00ad", "\u200bq", "x\u3000"]:
+                if text:
+                    (a, x), (b, y) = n.align(text.encode()), n._walk(text.encode())
+                    assert a == b and x.tolist() == y.tolist(), text
+
+
+def test_span_digests_are_those_of_the_librarys_spans(documents, library):
+    rows = list(enumerate(TEXTS))
+    for r in pc.round_trip(documents(rows), MODEL).collect():
+        pieces = library.encode(TEXTS[r.doc_id], return_type="proto").pieces
+        spans = [p.begin for p in pieces] + [p.end for p in pieces]
+        assert r.spans_sha256 == hashlib.sha256(np.array(spans, "<i8").tobytes()).hexdigest()
 
 
 def test_round_trip_table(documents, library):
