@@ -2,9 +2,10 @@
 
 A text's words (A-Z lower-cased) are joined by single spaces, so one pass of the
 automaton finds every place where a phrase's words stand consecutively,
-overlapping ones included. Identifier tags are found in the raw text; a
-shunting-yard parser brings their expressions to postfix order and evaluates
-them against a policy.
+overlapping ones included, and the words of identifier tags, whose spelling and
+expression are then read from the text. A shunting-yard parser brings
+expressions to postfix order and evaluates them against a policy. The score is
+one less the product of what each label leaves open, by the weights below.
 
 Defined results: null and empty texts have no words, no labels, null first and
 last word and score 0. A malformed expression counts as a tag of its
@@ -35,14 +36,29 @@ NOTICES = {
     "lesser general public license": ("lgpl", 0.9), "affero general public license": ("agpl", 0.9), "gnu general public license": ("gpl", 0.9),
     "mozilla public license": ("mpl-2.0", 0.8), "eclipse public license": ("epl", 0.8), "bsd license": ("bsd", 0.7),
     "redistribution and use in source and binary forms": ("bsd", 0.8), "boost software license": ("bsl-1.0", 0.8),
+    "isc license": ("isc", 0.7), "zlib license": ("zlib", 0.7), "artistic license": ("artistic", 0.7), "the unlicense": ("unlicense", 0.7), "academic free license": ("afl", 0.7),
+    "open software license": ("osl", 0.7), "european union public licence": ("eupl", 0.8), "common development and distribution license": ("cddl", 0.8), "microsoft public license": ("ms-pl", 0.8),
+    "sil open font license": ("ofl", 0.8), "open font license": ("ofl", 0.7), "gnu free documentation license": ("gfdl", 0.9), "open data commons": ("odc", 0.7), "open database license": ("odbl", 0.8),
+    "do what the fuck you want to public license": ("wtfpl", 0.9), "python software foundation license": ("psf", 0.8), "postgresql license": ("postgresql", 0.8), "business source license": ("busl", 0.8), "server side public license": ("sspl", 0.9),
+    "without warranty of any kind": ("disclaimer", 0.4), "provided as is": ("disclaimer", 0.3), "all rights not granted": ("proprietary", 0.4), "used with permission": ("permission", 0.3),
     "cc by sa": ("cc-by-sa", 0.8), "cc by nc": ("cc-by-nc", 0.8), "cc by nd": ("cc-by-nd", 0.8), "cc0": ("cc0", 0.7),
     "creative commons attribution": ("cc-by", 0.7), "creative commons": ("creative-commons", 0.6), "public domain": ("public-domain", 0.4),
-    "licensed under": ("notice", 0.4), "released under": ("notice", 0.3), "copyright": ("copyright", 0.3), "proprietary and confidential": ("proprietary", 0.7),
+    "licensed under": ("notice", 0.4), "released under": ("notice", 0.3), "distributed under the terms of": ("notice", 0.4), "copyright": ("copyright", 0.3), "proprietary and confidential": ("proprietary", 0.7),
 }
 BASE_WEIGHT, TAG_WEIGHT = 0.5, 0.95
-TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+\-() \t]+)", re.IGNORECASE)
+#: The words of an identifier tag, and how it stands in a text, A-Z lower-cased.
+TAG_PHRASE, TAG_FORM = "spdx license identifier", "spdx-license-identifier"
+EXPRESSION = re.compile(r":[ \t]*([A-Za-z0-9.+\-() \t]+)")
 #: Licences that the default policy permits, lower case.
 PERMITTED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "zlib", "unlicense", "cc0-1.0", "bsl-1.0", "cc-by-4.0", "cc-by-3.0", "postgresql", "python-2.0"})
+#: Exceptions that may follow a licence after "with", lower case.
+EXCEPTIONS = frozenset("""
+389-exception autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 clisp-exception-2.0
+ecos-exception-2.0 fawkes-runtime-exception font-exception-2.0 freertos-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 gnu-javamail-exception
+gpl-cc-1.0 i2p-gpl-java-exception libtool-exception linux-syscall-note llvm-exception lzma-exception mif-exception ocaml-lgpl-linking-exception
+openjdk-assembly-exception-1.0 openvpn-openssl-exception qt-gpl-exception-1.0 qt-lgpl-exception-1.1 qwt-exception-1.0 swift-exception
+u-boot-exception-2.0 universal-foss-exception-1.0 wxwindows-exception-3.1
+""".split())
 BINDING = {"or": 1, "and": 2, "with": 3}
 
 
@@ -81,14 +97,17 @@ def postfix(expression: str) -> list[str]:
 
 
 def permitted(expression: str, policy: frozenset[str] = PERMITTED) -> bool:
-    """Whether the policy lets one use what is under the expression: or needs either side, and both; an exception (with) needs the licence before it."""
+    """Whether the policy lets one use what is under the expression: or needs either side, and both; an exception (with) needs the licence before it, and to be a known one."""
     stack: list[bool] = []
-    for token in postfix(expression):
+    tokens = postfix(expression)
+    for k, token in enumerate(tokens):
         if (op := token.lower()) in BINDING:
             right, left = stack.pop(), stack.pop()
-            stack.append(left or right if op == "or" else left and right if op == "and" else left)
+            stack.append(left or right if op == "or" else left and right)
         else:
-            stack.append(op.rstrip("+") in policy)
+            # What follows "with" stands right before it in postfix order; only there does an exception count.
+            after_with = k + 1 < len(tokens) and tokens[k + 1].lower() == "with"
+            stack.append(op in EXCEPTIONS if after_with else op.rstrip("+") in policy)
     return stack[0]
 
 
@@ -108,10 +127,22 @@ def tag_expression(raw: str) -> str:
     return best or next((t for t in tokens if t not in "()"), "")
 
 
+def tagged(text: str, places: list[int]) -> list[str]:
+    """The expressions of the identifier tags whose words start at these places (in words)."""
+    low = text.translate(ASCII_FOLD)
+    spans = [m.span() for m in re.finditer(ITEM_WORD, low)]
+    out = []
+    for k in places:
+        end = spans[k + len(TAG_PHRASE.split()) - 1][1]
+        if low[spans[k][0] : end] == TAG_FORM and (m := EXPRESSION.match(text, end)):
+            out.append(tag_expression(m[1]))
+    return out
+
+
 @functools.lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for phrase in BASE_PHRASES.keys() | NOTICES.keys():
+    for phrase in BASE_PHRASES.keys() | NOTICES.keys() | {TAG_PHRASE}:
         a.add_word(f" {phrase} ", phrase)
     a.make_automaton()
     return a
@@ -123,14 +154,18 @@ def scan(text: str) -> tuple:
     line = f" {' '.join(words)} "
     hits = [(end - len(phrase) - 1, phrase) for end, phrase in automaton().iter(line)]
     base, labels, doubt = [], {}, 1.0
+    tags = []
     if hits:
         starts = list(accumulate((len(w) + 1 for w in words[:-1]), initial=0))
         for at, phrase in hits:
+            if phrase == TAG_PHRASE:
+                tags.append(bisect_right(starts, at) - 1)
+                continue
             if phrase in BASE_PHRASES:
                 base.append((bisect_right(starts, at) - 1, BASE_PHRASES[phrase]))
             label, weight = NOTICES.get(phrase) or (BASE_PHRASES[phrase], BASE_WEIGHT)
             labels[label] = max(labels.get(label, 0), weight)
-    expressions = [tag_expression(m[1]) for m in TAG.finditer(text)] if "icense-" in text or "ICENSE-" in text else []
+    expressions = tagged(text, tags) if tags else []
     fit = []
     for e in filter(None, expressions):
         try:

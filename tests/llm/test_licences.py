@@ -1,5 +1,6 @@
 """Licence scans against a plain search for phrases, and expressions against the grammar."""
 
+import random
 import re
 
 import pytest
@@ -35,6 +36,9 @@ def test_base_phrases(text):
     ("GPL-3.0-only AND MIT", ["GPL-3.0-only", "MIT", "AND"], False),
     ("a or b and c with d", ["a", "b", "c", "d", "with", "and", "or"], False),
     ("(MIT or x) and (isc OR y)", ["MIT", "x", "or", "isc", "y", "OR", "and"], True),
+    ("MIT WITH nonsense", ["MIT", "nonsense", "WITH"], False),
+    ("LLVM-exception", ["LLVM-exception"], False),
+    ("GPL-2.0 with Classpath-exception-2.0 or isc", ["GPL-2.0", "Classpath-exception-2.0", "with", "isc", "or"], True),
     ("Apache-2.0 WITH LLVM-exception", ["Apache-2.0", "LLVM-exception", "WITH"], True),
 ])
 def test_expressions(expression, postfix, fit):
@@ -48,6 +52,37 @@ def test_malformed_expressions(bad):
         li.postfix(bad)
 
 
+def plain_scan(text):
+    """All labels and the score: every phrase at every word, tags by a regular expression, expressions by recursion."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    weights = {}
+    phrases = {p: (label, li.BASE_WEIGHT) for p, label in li.BASE_PHRASES.items()} | li.NOTICES
+    for phrase, (label, weight) in phrases.items():
+        if any(w[i : i + len(phrase.split())] == phrase.split() for i in range(len(w))):
+            weights[label] = max(weight, weights.get(label, 0))
+    for m in re.finditer(r"(?<![0-9a-z])spdx-license-identifier:[ \t]*([A-Za-z0-9.+-]+)", text or "", re.IGNORECASE | re.ASCII):
+        weights[m[1].lower()] = li.TAG_WEIGHT
+    left = 1.0
+    for weight in weights.values():
+        left *= 1 - weight
+    return ",".join(sorted(weights)), 1 - left
+
+
+def test_labels_and_score_against_a_plain_scan():
+    rng = random.Random(4)
+    parts = [*li.BASE_PHRASES, *li.NOTICES, "of", "the", "public", "license", "gnu", "cc", "by", "and so on", "SPDX-LIcense-Identifier: MIT\n", "spdx-license-identifier: ISC;\n", "SPDX License Identifier: MIT\n", "SPDX-License-Identifier MIT\n"]
+    for _ in range(400):
+        text = rng.choice([" ", ", ", "\n"]).join(x.upper() if rng.random() < 0.2 and "dentifier" not in x else x for x in rng.choices(parts, k=rng.randint(0, 12)))
+        got, (labels, score) = li.scan(text), plain_scan(text)
+        assert got[:5] == brute(text) and got[5] == labels and got[8] == pytest.approx(score), text
+
+
+def test_a_tag_in_any_case_is_found():
+    assert li.scan("SPDX-LIcense-Identifier: MIT")[5] == "mit" and li.scan("x É\n# spdx-LICENSE-identifier:\tISC OR MIT")[6] == "ISC OR MIT"
+    assert li.scan("spdx license identifier: MIT")[5] == "" == li.scan("SPDX-License-Identifier = MIT")[5]
+
+
 def test_tags_and_notices(documents):
     rows = [
         (1, "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0+\nint x;"), (2, "spdx-license-identifier: MIT this file"), (3, "SPDX-License-Identifier: MIT OR"),
