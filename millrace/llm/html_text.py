@@ -3,16 +3,19 @@
 Markup is stripped in one pass that keeps an open-element stack: block tags end
 a line, inline tags do not, and text below boilerplate elements (menus,
 headers, footers, sidebars, notices, adverts, forms, comments; told by tag,
-role, class or id) is left out. A page with an article element gives all other
-lines of its articles.
+role, class or id) is left out.
 
-On any other page lines that are more than half link text have length 0. Over
-the lines' lengths a window slides: a block of text runs from where its sums
+Lines that are more than half link text have length 0. Over the lines' lengths a window slides: a block of text runs from where its sums
 surge to where they dive back to near 0, if they rise over a threshold between
 (``SURGE`` characters, or half the page's largest sum where that is less). All
 lines of a block are kept, in page order, links and words in names or not, and
 the headings right before it; all lines outside the blocks go.
 
+Lines of an article element are a block of their own, short ones included, as
+long as the blocks outside hold no more than ``TRUST`` times its text: then the
+page is its articles. An article beyond that is a teaser, and the blocks outside
+it are the text.
+
 Defined results: null and empty html, and pages of boilerplate alone, give "";
 unclosed and stray tags, broken references and pages that end in the middle of
 a tag are read as browsers do, leniently; repeated pages give repeated rows;
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -33,6 +37,8 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 #: Characters in a window that make a block text; the share of them that is near 0.
 SURGE, DIVE = 80, 0.1
+#: So many times an article's text may stand in blocks outside of it.
+TRUST = 2
 #: Element names as HTML defines them.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +61,7 @@ SURE = re.compile(
     r"(?:^|\s)(?:share|sharing|social|related|recommended|comments?|nav|menu|site|page|login|search)[_-](?:buttons?|bar|box|links?|icons?|media|share|posts?|articles?|stories|news|list|form|section|area|menu|nav|footer|header|items?|container|wrapper)(?:$|\s)",
     re.IGNORECASE,
 )
+PARAGRAPHS = frozenset("p blockquote pre li dt dd td th figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMED, BOILER = 1, 2
 TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
@@ -105,7 +112,9 @@ def mark_of(name: str, attrs: str, in_article: bool) -> int:
     words = [*role.split(), *classes.split()]
     if not (in_article and name == "section"):
         words.append(ident)
-    if any(x and NAMES.fullmatch(x) and not (in_article and x in OF_ARTICLES) for x in words):
+    names = [bool(NAMES.fullmatch(x)) and not (in_article and x in OF_ARTICLES) for x in words if x]
+    # A paragraph of an article is boilerplate if nothing in its name says otherwise, other elements if one word says so.
+    if (all if in_article and name in PARAGRAPHS else any)(names) and names:
         return BOILER
     if SURE.search(classes) or name != "section" and not in_article and SURE.search(ident):
         return BOILER
@@ -115,11 +124,17 @@ def mark_of(name: str, attrs: str, in_article: bool) -> int:
 
 def strip_markup(page: str) -> list[Line]:
     lines, stack = Lines(), []  # stack: (name, mark from here on, hidden, article depth, in a heading)
+    opened, solid = Counter(), []  # names on the stack; places there of elements that are not inline
     hidden = heading = False
     mark = article = links = at = 0
 
-    def reset() -> None:
+    def close(k: int) -> None:
+        """Takes what is on the stack from place k on off it."""
         nonlocal mark, hidden, article, heading
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+        while solid and solid[-1] >= k:
+            solid.pop()
         mark, hidden, article, heading = stack[-1][1:] if stack else (0, False, 0, False)
 
     while at < len(page):
@@ -143,11 +158,8 @@ def strip_markup(page: str) -> list[Line]:
         if m["close"]:
             if name == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    reset()
-                    break
+            if opened[name] > 0:  # else it closes nothing, and looking for it would cost the depth of the page
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         if name in VOID or m["attrs"].endswith("/") and name in HIDDEN:
             continue
@@ -155,13 +167,10 @@ def strip_markup(page: str) -> list[Line]:
             links += 1
         elif block:
             if name in CLOSES_P:  # an open paragraph, and what is open in it, ends here
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] not in INLINE), -1)
-                if k >= 0 and stack[k][0] == "p":
-                    del stack[k:]
-                    reset()
+                if solid and stack[solid[-1]][0] == "p":
+                    close(solid[-1])
             elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
-                reset()
+                close(len(stack) - 1)
             links = 0
         if name in RAW_TEXT:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
@@ -172,6 +181,9 @@ def strip_markup(page: str) -> list[Line]:
             lines.end(mark, article > 0, heading)
         article += name in ("article", "main")
         mark, hidden, heading = max(mark, own), hidden or name in HIDDEN, heading or name in HEADINGS
+        if block:
+            solid.append(len(stack))
+        opened[name] += 1
         stack.append((name, mark, hidden, article, heading))
     lines.end(mark, article > 0, heading)
     return lines.done
@@ -196,17 +208,28 @@ def bounds(lengths: list[int]) -> tuple[int, int]:
     return (found[0][0], found[-1][1]) if found else (0, 0)
 
 
-def main_text(page: str) -> str:
-    lines = [x for x in strip_markup(page) if not x.boilerplate]
-    if any(x.in_article for x in lines):
-        return "\n".join(x.text for x in lines if x.in_article)
+def of_blocks(lines: list[Line]) -> list[int]:
+    """Places of the lines between surges and dives, and of the headings right before them."""
     kept, last = [], 0
     for start, stop in blocks([len(x.text) if not x.named and 2 * x.link_chars <= x.chars else 0 for x in lines]):
         while start > last and lines[start - 1].heading:
             start -= 1
         last = stop
-        kept += [x.text for x in lines[start:stop]]
-    return "\n".join(kept)
+        kept += range(start, stop)
+    return kept
+
+
+def main_text(page: str) -> str:
+    lines = [x for x in strip_markup(page) if not x.boilerplate]
+    size = lambda x: sum(len(y.text) for y in x)
+    article = [x for x in lines if x.in_article]
+    between = [lines[k] for k in of_blocks(lines)]
+    if size(article) * TRUST >= size([x for x in between if not x.in_article]) and article:
+        return "\n".join(x.text for x in article)
+    if article:  # a teaser: what it says is no measure of the page
+        rest = [x for x in lines if not x.in_article]
+        between = [rest[k] for k in of_blocks(rest)]
+    return "\n".join(x.text for x in between)
 
 
 def extract(pages: DataFrame) -> DataFrame:

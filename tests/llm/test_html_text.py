@@ -3,6 +3,7 @@
 import duckdb
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import types as T
@@ -82,6 +83,36 @@ def test_names_and_links_take_nothing_from_the_text(page, text):
     assert ht.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article><p>A teaser.</p></article><div>{DIVS}</div>", TEXT),
+    (f"<div>{DIVS}</div><article><h2>Another story</h2><p>Its first line.</p></article>", TEXT),
+    (f"<div>Home | About | Contact</div><div>News</div><div>x</div><div>y</div><div>{DIVS}</div>", TEXT),
+    (f"<article><p class='lead related'>Kept lead</p>{DIVS}</article><div>{LONG}</div>", f"Kept lead\n{TEXT}"),
+    (f"<article><p>One.</p><p>{LONG}</p></article><div>{LONG}</div>", f"One.\n{LONG}"),
+])
+def test_teasers_plain_menus_and_articles(page, text):
+    assert ht.main_text(page) == text
+
+
+def test_surge_and_dive_decide(monkeypatch):
+    page = f"<div>Welcome!</div><div>{LINKS}</div><div>{DIVS}</div><div>{LINKS}</div><div>Bye</div>"
+    assert ht.main_text(page) == TEXT
+    monkeypatch.setattr(ht, "blocks", lambda lengths: [(0, len(lengths))])
+    assert ht.main_text(page) != TEXT
+
+
+@pytest.mark.parametrize("stray", ["<b>{n}</i>", "<b>{n}<div></div>", "<p><td>{n}<div></div>", "</x>{n}<i>"])
+def test_stray_tags_take_linear_time(stray):
+    def took(n):
+        page = "".join(x * n for x in stray.split("{n}")) + "text"
+        began = time.process_time()
+        assert ht.main_text(page) == "text"
+        return time.process_time() - began
+
+    took(100)
+    assert took(20000) < 2.0
+
+
 def test_table(spark):
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("text", T.StringType())])
     rows = [(1, "u", CASES[0][0], "x"), (1, "u", CASES[0][0], "x"), (None, None, None, None), (2, "v", "", None)]
