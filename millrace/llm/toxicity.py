@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Training takes a bounded sample of labelled rows (``TRAIN_ROWS``, the ones with
-the smallest hash of their id; a documented parameter), none of them held out.
+the smallest hash of their id, one row for an id; a documented parameter), none
+of them held out.
 An n-gram counts once per document. The ``FEATURES`` n-grams whose presence
 tells most about the label (by G^2) are kept, each scaled by its log-count
 ratio, and a logistic regression with an L2 penalty is fitted to the scaled
@@ -16,7 +17,6 @@ class's share (0 without labels). Only doc_id and text are read for scoring.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -158,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most ``rows`` labelled documents, in one task of the cluster; only the model comes to the driver."""
     usable = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # At most ``rows`` rows: of rows that repeat a doc_id, one.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"])
@@ -203,7 +204,3 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             yield batch.filter(pa.array(scores(model, table, texts) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def crc_mod5(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % 5

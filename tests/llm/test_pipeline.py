@@ -38,3 +38,34 @@ def test_each_stage_acts_on_what_its_predecessor_kept(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
     want = {r.doc_id: len(library.encode(r.text)) for r in docs.collect()}
     assert {r.doc_id: r.n_tokens for r in cp.run(spark, SF).collect()} == want
+
+
+SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long, _rejected_id long, _gone string, _id int, _hash long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+
+
+def tables(spark, folder, **rows):
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame(rows.get(name, []), schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path, prose):
+    doc = lambda i, text, lang="en": (i, text, lang, None, 0, 1, "x", 2, 3)
+    passage, junk = prose(15, 77), "#$%&*!|@^~" * 40
+    docs = [doc(i, f"{prose(60, i)} {'you IDIOT' if i % 4 == 1 else 'friend'} {prose(30, i + 500)}") for i in range(200)]
+    docs += [doc(1000, prose(80, 3000)), doc(1001, prose(80, 3000)), doc(1001, prose(80, 3000)), doc(None, prose(80, 3001)), doc(None, None), doc(1002, None, None), doc(1003, "  "), doc(1004, f"{prose(900, 3002)} {passage} {prose(900, 3003)}"), doc(1005, prose(20000, 3004)), doc(1006, junk), doc(1006, junk)]
+    labels = [(i, 1, int(i % 4 == 1)) for i in range(200)] + [(1006, 0, 0), (None, 1, None), (77777, 0, 1)]
+    folder = tables(spark, tmp_path, documents=docs, labels=labels, benchmark=[(1, passage), (2, None), (None, "one")])
+    got = sorted((r.doc_id for r in cp.run(spark, folder).collect()), key=repr)
+    odd = [i for i in got if i is None or i >= 1000]
+    assert sorted(odd, key=repr) == sorted([1000, None, None, 1002, 1003, 1005], key=repr)
+    kept = [i for i in got if i is not None and i < 1000]
+    assert len(kept) == len(set(kept)) and sum(i % 4 == 1 for i in kept) <= 2 and sum(i % 4 != 1 for i in kept) >= 140
+    first = cp.STAGES[0][1](spark, table(spark, folder, "documents"), folder)
+    assert first.columns == table(spark, folder, "documents").columns
+
+
+def test_empty_tables(spark, tmp_path, prose):
+    assert cp.run(spark, tables(spark, tmp_path / "none")).count() == 0
+    folder = tables(spark, tmp_path / "docs", documents=[(1, prose(20, 1), "en", None, 0, 1, "x", 2, 3), (2, prose(20, 2), "fr", None, 0, 1, "x", 2, 3)])
+    assert {r.doc_id for r in cp.run(spark, folder).collect()} == {1, 2}
