@@ -1,5 +1,9 @@
 """The pricing summary against DuckDB, as a batch and as a stream."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -41,3 +45,11 @@ def test_stream_ends_with_the_batch_result(spark, expected, tmp_path):
 def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("missing", ["ahocorasick", "millrace.llm", "corpus_pipeline"])
+def test_entry_imports_without_the_corpus_operators_or_a_library_of_theirs(missing):
+    """A missing library costs the queries that need it and no others."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; assert list(e.queries()) == ['pricing_summary'] == list(e.oracle_sql())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
