@@ -53,20 +53,29 @@ LEAST_GAIN = 0.002
 NONE = -1
 
 
-#: Characters that a stretch of a text may hold if it is to be encoded by itself end at ASCII white space; texts with other space, separators or marks are encoded whole.
-PIECES = re.compile("[ \\t\\n\\r\\f\\v]*[^ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+")
+#: ASCII white space, and other characters that some call space, or that join or mark: texts that hold those are encoded whole.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 ODD = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u2060\\u3000\\ufeff]")
-BLOCK_CHARS, KNOWN_PIECES, RUN_PIECES = 1 << 22, 1 << 18, 4096
+BLOCK_CHARS, KNOWN_PIECES, RUN_PIECES = 1 << 22, 1 << 20, 256
+BYTE_HASH = np.random.default_rng(12).integers(0, 1 << 64, 256, np.uint64)
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of runs of n, one run after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
-    """Ids of the tokenizers library, which is asked for each distinct piece of a block of texts.
+    """Ids of the tokenizers library, which is asked for each distinct piece of the texts.
 
     A piece is a run of ASCII white space and what follows it up to the next one. A byte-level pre-tokeniser with the
     usual pattern always cuts between a character that is no space and one that is, so the pieces' ids, one after the
     other, are the text's. Pieces that begin with a space are encoded in joined runs for the same reason, and the ids
-    dealt back by the bytes that they stand for. Where the file's settings are others, every text goes to the library as
-    a whole, as do texts that hold an added token or space beyond ASCII.
+    dealt back by the bytes that they stand for. Pieces are told apart by a hash and compared with the known piece byte
+    by byte; texts with a piece that differs go to the library whole, as do texts that hold an added token or space
+    beyond ASCII, and all texts where the file's settings are others.
     """
 
     def __init__(self, vocab_json: str):
@@ -87,58 +96,85 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.width = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        """What is known is a cache of KNOWN_PIECES and what one block adds."""
+        self.index, self.raw, self.size, self.ids, self.width = pd.Index([], dtype=np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Adds pieces that are not yet known, each once."""
-        spaced = [p for p in pieces if p[0] in " \t\n\r\f\v" and p[-1] not in " \t\n\r\f\v"]
-        others = sorted(set(pieces).difference(spaced))
-        runs = [spaced[k : k + RUN_PIECES] for k in range(0, len(spaced), RUN_PIECES)]
-        parts, widths = [self.flat], [self.width]
-        for run, ids in zip(runs, self.ids(["".join(r) for r in runs]), strict=True):
-            ends = np.cumsum([len(p.encode()) for p in run])
-            parts.append(ids)
-            widths.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "right"), prepend=0))
-        for ids in self.ids(others):
-            parts.append(ids)
-            widths.append(np.array([len(ids)]))
-        for p in [*spaced, *others]:
-            self.known[p] = len(self.known)
-        self.flat, self.width = np.concatenate(parts), np.concatenate(widths)
+    def learn(self, hashes: np.ndarray, raw: np.ndarray, size: np.ndarray) -> None:
+        """Adds pieces, given by their bytes one after the other."""
+        data, at = raw.tobytes(), np.concatenate([[0], np.cumsum(size)])
+        joins = BLANK[raw[at[:-1]]] & ~BLANK[raw[at[1:] - 1]]
+        order = np.argsort(~joins, kind="stable")
+        n = int(joins.sum())
+        joined = raw[spread(at[:-1][order[:n]], size[order[:n]])].tobytes()
+        ends = np.cumsum(size[order[:n]])
+        cuts = [0, *ends[RUN_PIECES - 1 : n - 1 : RUN_PIECES].tolist(), len(joined)]
+        runs = self.encoded([joined[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a])
+        alone = self.encoded([data[at[k] : at[k + 1]].decode() for k in order[n:]])
+        ids = np.concatenate([np.zeros(0, np.int32), *runs])
+        widths = np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "right"), prepend=0)
+        self.ids = np.concatenate([self.ids, ids, *alone])
+        self.width = np.concatenate([self.width, widths, np.array([len(a) for a in alone], np.int64)])
+        self.raw = np.concatenate([self.raw, raw[spread(at[:-1][order], size[order])]])
+        self.size = np.concatenate([self.size, size[order]])
+        self.index = self.index.append(pd.Index(hashes[order]))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
         whole = [k for k, t in enumerate(texts) if not self.in_pieces or self.whole.search(t)]
-        for k, ids in zip(whole, self.ids([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        block, size, left = [], 0, sorted(set(range(len(texts))).difference(whole))
+        block, size, left = [], 0, [k for k in sorted(set(range(len(texts))).difference(whole)) if texts[k]]
         for k in left:
             block.append(k)
             size += len(texts[k])
             if size >= BLOCK_CHARS or k == left[-1]:
                 for at, ids in zip(block, self.block([texts[b] for b in block]), strict=True):
-                    out[at] = ids
+                    if ids is None:
+                        whole.append(at)
+                    else:
+                        out[at] = ids
                 block, size = [], 0
+        for k, ids in zip(whole, self.encoded([texts[k] for k in whole]), strict=True):
+            out[k] = ids
         return out
 
-    def block(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KNOWN_PIECES:
+    def block(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts that are not empty; None where a piece's hash is another piece's."""
+        if len(self.index) > KNOWN_PIECES:
             self.forget()
-        cut = [PIECES.findall(t) for t in texts]
-        pieces = [p for c in cut for p in c]
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if new:
-            self.learn(new)
-        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        data = [t.encode() for t in texts]
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        ends = np.cumsum([len(d) for d in data])
+        cut = BLANK[raw]
+        cut[1:] &= ~cut[:-1]
+        cut[np.append(0, ends[:-1])] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(np.append(start, len(raw)))
+        inside = spread(np.zeros(len(size), np.int64), size)
+        powers = np.full(int(size.max()), STEP, np.uint64)
+        powers[0] = 1
+        hashes = np.add.reduceat(BYTE_HASH[raw] * np.cumprod(powers, dtype=np.uint64)[inside], start)
+        code, distinct = pd.factorize(hashes)
+        number = self.index.get_indexer(distinct)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            first = np.empty(len(distinct), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            own = first[new]
+            self.learn(hashes[own], raw[spread(start[own], size[own])], size[own])
+            number = self.index.get_indexer(distinct)
+        number = number[code]
+        n, at = self.width[number], np.cumsum(self.size) - self.size
+        last = np.searchsorted(start, ends)
+        wrong = self.size[number] != size
+        wrong[~wrong] |= np.bitwise_or.reduceat(np.append(self.raw[np.where(np.repeat(wrong, size), 0, np.repeat(at[number], size) + inside)] != raw, False), start)[~wrong]
         begin = np.cumsum(self.width) - self.width
-        n = self.width[number]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(begin[number] - ends[:-1], n) + np.arange(ends[-1])]
-        return np.split(ids, ends[np.cumsum([len(c) for c in cut])[:-1]])
+        ids = np.split(self.ids[spread(begin[number], n)], np.cumsum(n)[last[:-1] - 1])
+        if wrong.any():
+            for k in np.unique(np.searchsorted(last, np.flatnonzero(wrong), "right")):
+                ids[k] = None
+        return ids
 
 
 @functools.lru_cache(maxsize=2)

@@ -45,6 +45,13 @@ def test_all_supplied_documents_and_a_forgetful_encoder(library, monkeypatch):
     assert [g.tolist() for g in tf.Encoder(VOCAB)(texts[:200])] == want[:200]
 
 
+def test_pieces_of_one_hash_are_told_apart(library, monkeypatch):
+    monkeypatch.setattr(tf, "BYTE_HASH", np.arange(256, dtype=np.uint64) % np.uint64(3))
+    monkeypatch.setattr(tf, "STEP", np.uint64(1))
+    texts = ["abc cba bac abd", "one two three four", "x", " y  z ", "the the the", "eht het"]
+    assert [g.tolist() for g in tf.Encoder(VOCAB)(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_other_settings_of_the_file_are_kept(tmp_path):
     import json
 
