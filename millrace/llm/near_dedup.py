@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Workspace, bounded, discard, written
+from .runtime import Workspace, bounded, discard, sorted_distinct, written
 
 #: What writes an intermediate table.
 Store = Callable[[DataFrame, str], DataFrame]
@@ -111,7 +111,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for j in range(SHINGLE):
         h = mix(h + np.where(j < size, padded[at + j], np.uint64(0)) * np.uint64(2 * j + 1)) + np.uint64(j)
     ends = np.append(0, np.cumsum(n))
-    parts = [np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    parts = [sorted_distinct(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
 
 

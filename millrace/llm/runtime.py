@@ -98,6 +98,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting."""
+    out = np.sort(values)
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    return out[new]
+
+
 def codepoints(texts: Iterable[str], pad: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts' code points in one array, each text after ``pad`` fillers; and where each text's part begins (and the end)."""
     lead = chr(fill) * pad

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import codepoints
+from .runtime import codepoints, sorted_distinct
 
 TRAIN_ROWS = 6000
 ORDERS = (3, 4, 5, 6)
@@ -88,19 +88,19 @@ def present(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
         doc = np.searchsorted(ends, at, "right") - 1
         inside = at + n <= ends[doc + 1]
         found.append((doc[inside] << 20) + feature[at[inside]] - 1)
-    pairs = np.unique(np.concatenate(found))
+    pairs = sorted_distinct(np.concatenate(found))
     return pairs >> 20, pairs & (1 << 20) - 1
 
 
 def document_counts(texts: list[str]) -> np.ndarray:
     """How many of the texts hold each bucket's n-grams."""
-    counts = np.zeros(1 << BUCKET_BITS, np.int32)
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for _, part in blocks(texts):
         for n, bucket, ends in grams(part):
             doc = np.repeat(np.arange(len(part)), np.diff(ends))[: len(bucket)]
             inside = np.arange(len(bucket)) + n <= ends[doc + 1]
-            pairs = np.unique((doc[inside] << BUCKET_BITS) + bucket[inside])
-            np.add.at(counts, pairs & (1 << BUCKET_BITS) - 1, 1)
+            pairs = sorted_distinct((doc[inside] << BUCKET_BITS) + bucket[inside])
+            counts += np.bincount(pairs & (1 << BUCKET_BITS) - 1, minlength=len(counts))
     return counts
 
 
