@@ -24,8 +24,8 @@ ITEM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of a few numbers that are broadcast at most: some tens of MB on each executor.
-BROADCAST_ROWS = 1 << 20
+#: Bytes that are broadcast at most, counted as BYTES_A_FIELD for each field and the length of each string.
+BROADCAST_BYTES, BYTES_A_FIELD = 32 << 20, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table of ids, hinted for broadcast if its count is within the bound; else joined as Spark sees fit."""
-    return F.broadcast(df) if df.count() <= rows else df
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table of numbers and strings, hinted for broadcast if its size is within the bound; else joined as Spark sees fit."""
+    strings = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    rows, *lengths = df.agg(F.count("*"), *strings).first()
+    return F.broadcast(df) if rows * BYTES_A_FIELD * len(df.columns) + sum(lengths) <= most else df
 
 
 def discard(spark: SparkSession, df_or_path: DataFrame | str) -> None:
