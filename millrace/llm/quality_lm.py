@@ -45,9 +45,9 @@ from .runtime import Workspace, bounded, codepoints, discard, written
 ORDER = 5
 PAD = 2
 BLOCK_CHARS = 40 << 20
-CHUNK_CHARS = 1 << 20
-#: Documents are packed once and cross one shuffle.
-PACK_LEVEL = 9
+CHUNK_CHARS = 1 << 19
+#: Documents are packed once, so many at most together, and cross one shuffle.
+PACK_ROWS, PACK_LEVEL = 1024, 9
 QUANTILE, SHORT, LEAST_CALIBRATION = 0.98, 4.0, 20
 #: Steps of the quantiles of each kind that a cut is looked for among.
 STEPS = 1000
@@ -272,7 +272,8 @@ def score(docs: DataFrame, model: DataFrame, id_columns: list[str]) -> DataFrame
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for block, own in frame.groupby("_block"):
-                yield pd.DataFrame({"_block": [block], "rows": [pack(own[columns])]})
+                parts = [pack(own[columns].iloc[k : k + PACK_ROWS]) for k in range(0, len(own), PACK_ROWS)]
+                yield pd.DataFrame({"_block": block, "rows": parts})
 
     def needs(parts: pd.DataFrame) -> pd.DataFrame:
         keys = np.zeros(0, np.uint64)

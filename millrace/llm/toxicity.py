@@ -35,7 +35,7 @@ BUCKET_BITS = 22
 LEAST_DOCS = 4
 RIDGE = 0.3
 SMOOTH = 1.0
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
