@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Workspace, bounded, discard, sorted_distinct, written
+from .runtime import Workspace, bounded, discard, sorted_distinct, tidy, written
 
 #: What writes an intermediate table.
 Store = Callable[[DataFrame, str], DataFrame]
@@ -181,7 +181,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(at, len(block)), pa.array(n), pa.array(a), pa.array(b), bands], names=["doc_id", "n", "a", "b", "bands"])
                 at += len(block)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             sizes = np.array([len(sets[x]) + len(sets[y]) for x, y in zip(one, two, strict=True)])
             yield batch.select([0, 1]).filter(pa.array(100 * common >= SHARE * (sizes - common), pa.bool_()))
 
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def hot_buckets(sizes: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def prefixes(texts: DataFrame, crowd: DataFrame, store: Store = written) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(owner)], names=["bucket", "id"])
                 at += len(block)
 
-    rows = store(texts.join(crowd.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "bucket long, id long"), "shingles")
+    rows = store(texts.join(crowd.select("id"), "id", "left_semi").select("id", "text").mapInArrow(tidy(run), "bucket long, id long"), "shingles")
     df = store(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "shingle-counts")
     own = meet(rows, df).withColumnRenamed("size", "df").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "bucket"))).alias("own"))
     length = F.col("n") - F.ceil(SHARE * F.col("n") / 100) + 1

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Workspace, bounded, codepoints, discard, written
+from .runtime import Workspace, bounded, codepoints, discard, release, tidy, written
 
 ORDER = 5
 PAD = 2
@@ -135,9 +135,9 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                 grams, contexts = keys_of(chars, np.arange(0, len(chars), ORDER), lang)
                 yield pd.DataFrame({"lang": lang, "n": own["n"].to_numpy()} | {k: v.view(np.int64) for k, v in zip(NAMES, grams + contexts, strict=True)})
 
-    counted = docs.select("lang", "text").mapInPandas(run, "lang string, gram string, n long")
+    counted = docs.select("lang", "text").mapInPandas(tidy(run), "lang string, gram string, n long")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return summed.mapInPandas(hashed, "lang string, n long, " + ", ".join(f"{k} long" for k in NAMES))
+    return summed.mapInPandas(tidy(hashed), "lang string, n long, " + ", ".join(f"{k} long" for k in NAMES))
 
 
 def train(trusted: DataFrame) -> DataFrame:
@@ -279,6 +279,7 @@ def score(docs: DataFrame, model: DataFrame, id_columns: list[str]) -> DataFrame
         keys = np.zeros(0, np.uint64)
         for blob in parts["rows"]:
             keys = pd.unique(np.concatenate([keys, needed(unpack(blob))]))
+        release()
         return pd.DataFrame({"_block": parts["_block"].iloc[0], "key": keys.view(np.int64)})
 
     def run(parts: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
@@ -286,10 +287,12 @@ def score(docs: DataFrame, model: DataFrame, id_columns: list[str]) -> DataFrame
         for blob in parts["rows"]:
             frame = unpack(blob)
             out.append(frame[id_columns].assign(log_perplexity=-scorer(frame)))
+        del scorer, entries, parts
+        release()
         return pd.concat(out)
 
     # One exchange of the packed documents serves both the keys and the scores.
-    sent = docs.select("_block", *columns).mapInPandas(packed, "_block long, rows binary").repartition("_block")
+    sent = docs.select("_block", *columns).mapInPandas(tidy(packed), "_block long, rows binary").repartition("_block")
     found = sent.groupBy("_block").applyInPandas(needs, "_block long, key long").join(model, "key")
     schema = ", ".join(f"`{c}` string" for c in id_columns) + ", log_perplexity double"
     out = sent.groupBy("_block").cogroup(found.groupBy("_block")).applyInPandas(run, schema)

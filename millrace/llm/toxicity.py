@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import codepoints, sorted_distinct
+from .runtime import codepoints, release, sorted_distinct, tidy
 
 TRAIN_ROWS = 6000
 ORDERS = (3, 4, 5, 6)
@@ -164,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"])
         m = fit(frame["text"].tolist(), frame["toxic"].to_numpy())
+        release()
         return pd.DataFrame({"bucket": np.append(m.buckets, -1), "weight": np.append(m.weights, m.intercept)})
 
     got = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "bucket long, weight double").toPandas()
@@ -190,7 +191,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             score = scores(model, table, [t or "" for t in frame["text"]])
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": score, "predicted": (score >= 0.5).astype("int32")})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -203,4 +204,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             texts = [t or "" for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(scores(model, table, texts) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
