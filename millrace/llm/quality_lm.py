@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Workspace, bounded, codepoints, discard, release, tidy, written
+from .runtime import Workspace, bounded, codepoints, discard, release, scratch, tidy, written
 
 ORDER = 5
 PAD = 2
@@ -141,39 +141,46 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
 
 def train(trusted: DataFrame) -> DataFrame:
-    """The model, a written table."""
-    with Workspace(trusted.sparkSession) as work:
-        return written(estimate(trusted, work), "kneser-ney")
-
-
-def estimate(trusted: DataFrame, work: Workspace) -> DataFrame:
-    """The model: (key, value), an n-gram's discounted share of its context, or the weight that a context leaves to the next lower order."""
-    types, parts = work.written(count_ngrams(trusted), "ngrams"), []
-    for k in range(ORDER, 0, -1):
-        if k < ORDER:
-            rest = [x for x in NAMES if int(x[1:]) <= k and x != f"g{k}"]
-            types = types.groupBy("lang", f"g{k}").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in rest))
-        of = [F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
-
-        def discount(i: int, y: Column = y) -> Column:
-            """By the counts of counts, within (0, i); half below i where they are too few to tell."""
-            share = F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-            told = F.least(F.greatest(i - (i + 1) * y * share, F.lit(0.05)), F.lit(i - 0.05))
-            return F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0) & y.isNotNull(), told).otherwise(F.lit(i - 0.5))
-
-        # A row for each language, and a language may be most of the corpus: broadcast as long as the languages are within the bound.
-        discounts = bounded(work.written(types.groupBy("lang").agg(*of).select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3))), "discounts"))
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = types.join(discounts, "lang").withColumn("d", d)
-        contexts = cut.groupBy(f"c{k}").agg(F.sum("n").alias("total"), F.sum("d").alias("left"), F.count("*").alias("types"))
-        share = cut.join(contexts.select(f"c{k}", "total"), f"c{k}").select(F.col(f"g{k}").alias("key"), ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
-        weight = F.col("left") / F.col("total") if k > 1 else F.col("left") / F.col("total") / (F.col("types") + 1)
-        parts += [share, contexts.select(F.col(f"c{k}").bitwiseXOR(F.lit(int(WEIGHT if k > 1 else ROOT))).alias("key"), weight.alias("value"))]
-    model = parts[0]
-    for p in parts[1:]:
-        model = model.unionByName(p)
-    return model
+    """The model, a written table: (key, value), an n-gram's discounted share of its context, or the weight that a context leaves to the next lower order.
+
+    Each order is a table of its own, counted from the one above it, and adds its part to the model; a table goes when the next is there.
+    """
+    spark, path, upper = trusted.sparkSession, scratch(trusted.sparkSession, "kneser-ney"), None
+    with Workspace(spark) as work:
+        for k in range(ORDER, 0, -1):
+            if upper is None:
+                types = count_ngrams(trusted)
+            else:
+                rest = [x for x in NAMES if int(x[1:]) <= k and x != f"g{k}"]
+                types = upper.groupBy("lang", f"g{k}").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in rest))
+            types = work.written(types, f"ngrams-{k}")
+            if upper is not None:
+                discard(spark, upper)
+            shares, weights = estimate(types, k, work)
+            shares.unionByName(weights).write.mode("append").parquet(path)
+            upper = types
+    return spark.read.schema("key long, value double").parquet(path)
+
+
+def estimate(types: DataFrame, k: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The model's two parts of order ``k``: shares of its n-grams and weights of their contexts."""
+    of = [F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
+
+    def discount(i: int) -> Column:
+        """By the counts of counts, within (0, i); half below i where they are too few to tell."""
+        share = F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
+        told = F.least(F.greatest(i - (i + 1) * y * share, F.lit(0.05)), F.lit(i - 0.05))
+        return F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0) & y.isNotNull(), told).otherwise(F.lit(i - 0.5))
+
+    # A row for each language, and a language may be most of the corpus: broadcast as long as the languages are within the bound.
+    discounts = bounded(work.written(types.groupBy("lang").agg(*of).select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3))), "discounts"))
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    cut = types.select("lang", "n", f"g{k}", f"c{k}").join(discounts, "lang").withColumn("d", d)
+    contexts = cut.groupBy(f"c{k}").agg(F.sum("n").alias("total"), F.sum("d").alias("left"), F.count("*").alias("types"))
+    shares = cut.join(contexts.select(f"c{k}", "total"), f"c{k}").select(F.col(f"g{k}").alias("key"), ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
+    weight = F.col("left") / F.col("total") if k > 1 else F.col("left") / F.col("total") / (F.col("types") + 1)
+    return shares, contexts.select(F.col(f"c{k}").bitwiseXOR(F.lit(int(WEIGHT if k > 1 else ROOT))).alias("key"), weight.alias("value"))
 
 
 def blocked(docs: DataFrame) -> DataFrame:
