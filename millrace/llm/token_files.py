@@ -25,6 +25,7 @@ each document and the end u64, symbols u16 or u32.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import re
@@ -50,15 +51,20 @@ SHARD_IDS = 1 << 21
 PAIRS_A_ROUND, RULE_BYTES = 4096, 12
 #: Rounds end when one saves less than this share of the symbols' bytes, or when the symbols of the narrower width are used up, as the wider one would cost more than any rule saves.
 LEAST_GAIN = 0.002
-NONE = -1
 
 
 #: ASCII white space, and other characters that some call space, or that join or mark: texts that hold those are encoded whole.
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 ODD = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u2060\\u3000\\ufeff]")
-BLOCK_CHARS, KNOWN_PIECES, RUN_PIECES = 1 << 22, 1 << 20, 256
+BLOCK_CHARS, KNOWN_PIECES, KNOWN_BYTES, RUN_PIECES = 1 << 22, 1 << 20, 1 << 25, 256
+#: Letters, digits and other characters of ASCII; bytes beyond ASCII may be any of them.
+KIND = np.array([0 if b > 127 or BLANK[b] else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+#: Whether a piece is cut between two bytes, by the first one * 256 + the second: where white space begins, and where the kind changes, though not after an apostrophe, which may begin 's or 'll.
+CUT = (~BLANK[:, None] & BLANK | (KIND[:, None] > 0) & (KIND > 0) & (KIND[:, None] != KIND) & (np.arange(256) != 39)[:, None]).ravel()
 BYTE_HASH = np.random.default_rng(12).integers(0, 1 << 64, 256, np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The low n bytes of a word of eight. Pieces of more than LANES words are hashed and compared one by one.
+LOW_BYTES, LANES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64), 8
 
 
 def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -67,15 +73,21 @@ def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``raw`` on as one number; raw ends with eight bytes more."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
 class Encoder:
     """Ids of the tokenizers library, which is asked for each distinct piece of the texts.
 
-    A piece is a run of ASCII white space and what follows it up to the next one. A byte-level pre-tokeniser with the
-    usual pattern always cuts between a character that is no space and one that is, so the pieces' ids, one after the
-    other, are the text's. Pieces that begin with a space are encoded in joined runs for the same reason, and the ids
-    dealt back by the bytes that they stand for. Pieces are told apart by a hash and compared with the known piece byte
-    by byte; texts with a piece that differs go to the library whole, as do texts that hold an added token or space
-    beyond ASCII, and all texts where the file's settings are others.
+    A piece is a run of ASCII white space and what follows it, up to the next one or to where ASCII letters, digits and
+    other characters meet. A byte-level pre-tokeniser with the usual pattern always cuts there (but for an apostrophe and
+    letters after it), so the pieces' ids, one after the other, are the text's. Pieces are encoded in joined runs, those that
+    begin with no space after a line feed whose id is dropped, and the ids dealt back by the bytes that they stand for.
+    Pieces are told apart by a hash and compared with the known piece byte by byte, eight at a time; texts with a piece that
+    differs go to the library whole, as do texts that hold an added token or space beyond ASCII, and all texts where the
+    file's settings are others.
     """
 
     def __init__(self, vocab_json: str):
@@ -88,42 +100,94 @@ class Encoder:
         self.in_pieces = bool(by_bytes and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.whole = re.compile("|".join([ODD.pattern, *map(re.escape, added)]))
+        self.marks = [c for c in map(chr, range(256)) if ODD.match(c)] + added
         vocab = self.library.get_vocab()
         self.first = max(vocab.values()) + 1
         self.n_bytes = np.zeros(self.first, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # a character for each byte
+        self.powers = np.cumprod(np.append(np.uint64(1), np.full(8 * LANES, STEP)), dtype=np.uint64)
+        two = np.arange(1 << 16)
+        self.two_bytes = [BYTE_HASH[two & 255] * self.powers[k] + BYTE_HASH[two >> 8] * self.powers[k + 1] for k in (0, 2, 4, 6)]
         self.forget()
 
     def forget(self) -> None:
-        """What is known is a cache of KNOWN_PIECES and what one block adds."""
-        self.index, self.raw, self.size, self.ids, self.width = pd.Index([], dtype=np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        """What is known is a cache of KNOWN_PIECES, of KNOWN_BYTES in all, and what one block adds. Piece 0 is none; slots hold pieces by hash, 0 in free ones."""
+        self.slots, self.hashes = np.zeros(1 << 16, np.int32), np.zeros(1, np.uint64)
+        self.raw, self.at, self.size = np.zeros(8, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids, self.begin, self.width = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The known pieces of these hashes, or 0."""
+        slot = self.slot(hashes)
+        number = self.slots[slot]
+        todo = np.flatnonzero((number > 0) & (self.hashes[number] != hashes))
+        while len(todo):
+            slot[todo] = slot[todo] + 1 & len(self.slots) - 1
+            number[todo] = self.slots[slot[todo]]
+            todo = todo[(number[todo] > 0) & (self.hashes[number[todo]] != hashes[todo])]
+        return number
+
+    def file(self, hashes: np.ndarray) -> None:
+        """Gives slots to new pieces."""
+        number = np.arange(len(self.hashes), len(self.hashes) + len(hashes), dtype=np.int32)
+        self.hashes = np.concatenate([self.hashes, hashes])
+        if 2 * len(self.hashes) > len(self.slots):
+            self.slots = np.zeros(1 << (4 * len(self.hashes)).bit_length() - 1, np.int32)
+            number, hashes = np.arange(1, len(self.hashes), dtype=np.int32), self.hashes[1:]
+        slot, todo = self.slot(hashes), np.arange(len(hashes))
+        while len(todo):
+            free = todo[self.slots[slot[todo]] == 0]
+            self.slots[slot[free]] = number[free]
+            todo = todo[self.slots[slot[todo]] != number[todo]]
+            slot[todo] = slot[todo] + 1 & len(self.slots) - 1
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, hashes: np.ndarray, raw: np.ndarray, size: np.ndarray) -> None:
         """Adds pieces, given by their bytes one after the other."""
-        data, at = raw.tobytes(), np.concatenate([[0], np.cumsum(size)])
-        joins = BLANK[raw[at[:-1]]] & ~BLANK[raw[at[1:] - 1]]
+        at = np.cumsum(size) - size
+        joins = ~BLANK[raw[at + size - 1]]
         order = np.argsort(~joins, kind="stable")
-        n = int(joins.sum())
-        joined = raw[spread(at[:-1][order[:n]], size[order[:n]])].tobytes()
-        ends = np.cumsum(size[order[:n]])
+        n, at, size = int(joins.sum()), at[order], size[order]
+        raw, at = raw[spread(at, size)], np.cumsum(size) - size
+        fed = (~BLANK[raw[at[:n]]]).astype(np.int64)
+        ends = np.cumsum(size[:n] + fed)
+        joined = np.full(ends[-1] if n else 0, 10, np.uint8)
+        joined[spread(ends - size[:n], size[:n])] = raw[: size[:n].sum()]
         cuts = [0, *ends[RUN_PIECES - 1 : n - 1 : RUN_PIECES].tolist(), len(joined)]
+        joined, data = joined.tobytes(), raw.tobytes()
         runs = self.encoded([joined[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a])
-        alone = self.encoded([data[at[k] : at[k + 1]].decode() for k in order[n:]])
+        alone = self.encoded([data[a:b].decode() for a, b in zip(at[n:].tolist(), (at + size)[n:].tolist(), strict=True)])
         ids = np.concatenate([np.zeros(0, np.int32), *runs])
-        widths = np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "right"), prepend=0)
-        self.ids = np.concatenate([self.ids, ids, *alone])
-        self.width = np.concatenate([self.width, widths, np.array([len(a) for a in alone], np.int64)])
-        self.raw = np.concatenate([self.raw, raw[spread(at[:-1][order], size[order])]])
-        self.size = np.concatenate([self.size, size[order]])
-        self.index = self.index.append(pd.Index(hashes[order]))
+        width = np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "right"), prepend=0)
+        own = np.ones(len(ids), bool)
+        own[(np.cumsum(width) - width)[fed > 0]] = False
+        width = np.concatenate([width - fed, np.array([len(a) for a in alone], np.int64)])
+        self.file(hashes[order])
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(width) - width])
+        self.at = np.concatenate([self.at, len(self.raw) - 8 + at])
+        self.ids = np.concatenate([self.ids, ids[own], *alone])
+        self.width = np.concatenate([self.width, width])
+        self.raw = np.concatenate([self.raw[:-8], raw, np.zeros(8, np.uint8)])
+        self.size = np.concatenate([self.size, size])
+
+    def goes_whole(self, text: str) -> bool:
+        if not self.in_pieces:
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return bool(self.whole.search(text))
+        return any(mark in text for mark in self.marks)  # faster than the pattern
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
-        whole = [k for k, t in enumerate(texts) if not self.in_pieces or self.whole.search(t)]
+        whole = [k for k, t in enumerate(texts) if self.goes_whole(t)]
         block, size, left = [], 0, [k for k in sorted(set(range(len(texts))).difference(whole)) if texts[k]]
         for k in left:
             block.append(k)
@@ -141,36 +205,49 @@ class Encoder:
 
     def block(self, texts: list[str]) -> list[np.ndarray | None]:
         """Ids of texts that are not empty; None where a piece's hash is another piece's."""
-        if len(self.index) > KNOWN_PIECES:
+        if len(self.hashes) > KNOWN_PIECES or len(self.raw) > KNOWN_BYTES:
             self.forget()
-        data = [t.encode() for t in texts]
-        raw = np.frombuffer(b"".join(data), np.uint8)
-        ends = np.cumsum([len(d) for d in data])
-        cut = BLANK[raw]
-        cut[1:] &= ~cut[:-1]
+        parts = [t.encode() for t in texts]
+        ends = np.cumsum([len(d) for d in parts])
+        data = b"".join([*parts, bytes(8)])
+        raw = np.frombuffer(data, np.uint8)
+        cut = np.empty(ends[-1], bool)
+        cut[1:] = CUT[raw[: ends[-1] - 1].astype(np.uint16) << 8 | raw[1 : ends[-1]]]
         cut[np.append(0, ends[:-1])] = True
         start = np.flatnonzero(cut)
-        size = np.diff(np.append(start, len(raw)))
-        inside = spread(np.zeros(len(size), np.int64), size)
-        powers = np.full(int(size.max()), STEP, np.uint64)
-        powers[0] = 1
-        hashes = np.add.reduceat(BYTE_HASH[raw] * np.cumprod(powers, dtype=np.uint64)[inside], start)
+        size = np.diff(np.append(start, ends[-1]))
+        hashes, lanes, text_words = size.astype(np.uint64) * STEP, [], words(raw)
+        among = np.arange(len(start))
+        for lane in range(LANES):
+            among = among[size[among] > 8 * lane]
+            if not len(among):
+                break
+            word = text_words[start[among] + 8 * lane] & LOW_BYTES[np.minimum(size[among] - 8 * lane, 8)]
+            two = word.astype("<u8", copy=False).view("<u2")
+            hashes[among] += sum(table.take(two[k::4]) for k, table in enumerate(self.two_bytes)) * self.powers[8 * lane]
+            lanes.append((among, word))
+        long = np.flatnonzero(size > 8 * LANES)
+        for k in long.tolist():
+            hashes[k] = int.from_bytes(hashlib.blake2b(data[start[k] : start[k] + size[k]], digest_size=8).digest())
         code, distinct = pd.factorize(hashes)
-        number = self.index.get_indexer(distinct)
-        new = np.flatnonzero(number < 0)
+        number = self.find(distinct)
+        new = np.flatnonzero(number == 0)
         if len(new):
             first = np.empty(len(distinct), np.int64)
             first[code[::-1]] = np.arange(len(code))[::-1]
             own = first[new]
-            self.learn(hashes[own], raw[spread(start[own], size[own])], size[own])
-            number = self.index.get_indexer(distinct)
-        number = number[code]
-        n, at = self.width[number], np.cumsum(self.size) - self.size
+            self.learn(distinct[new], raw[spread(start[own], size[own])], size[own])
+            number[new] = self.find(distinct[new])
+        known_at, known_size, known_words = self.at[number], self.size[number], words(self.raw)
+        wrong = known_size[code] != size
+        for lane, (among, word) in enumerate(lanes):
+            known = known_words[np.minimum(known_at + 8 * lane, len(known_words) - 1)] & LOW_BYTES[np.clip(known_size - 8 * lane, 0, 8)]
+            wrong[among] |= known[code[among]] != word
+        for k in long.tolist():
+            wrong[k] = wrong[k] or self.raw[known_at[code[k]] :][: size[k]].tobytes() != data[start[k] : start[k] + size[k]]
+        n = self.width[number][code]
         last = np.searchsorted(start, ends)
-        wrong = self.size[number] != size
-        wrong[~wrong] |= np.bitwise_or.reduceat(np.append(self.raw[np.where(np.repeat(wrong, size), 0, np.repeat(at[number], size) + inside)] != raw, False), start)[~wrong]
-        begin = np.cumsum(self.width) - self.width
-        ids = np.split(self.ids[spread(begin[number], n)], np.cumsum(n)[last[:-1] - 1])
+        ids = np.split(self.ids[spread(self.begin[number][code], n)], np.cumsum(n)[last[:-1] - 1])
         if wrong.any():
             for k in np.unique(np.searchsorted(last, np.flatnonzero(wrong), "right")):
                 ids[k] = None
@@ -186,55 +263,51 @@ def encode(vocab_json: str, text: str) -> np.ndarray:
     return encoder(vocab_json)([text])[0].astype(np.int64)
 
 
-def pair_keys(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Each symbol with its right neighbour as one number; NONE across the end of a document."""
-    keys = seq[:-1] << 32 | seq[1:]
-    keys[last[:-1]] = NONE
-    return keys
-
-
 def frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
     """The ``most`` most frequent pairs that occur ``least`` times, most frequent first, ties by the smaller pair."""
     order = np.sort(keys)
-    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(first, len(order)))
-    pairs = order[first]
-    counts[pairs == NONE] = 0
-    often = np.flatnonzero(counts >= least)
-    return pairs[often[np.argsort(-counts[often], kind="stable")[:most]]]
+    often = order[: max(0, len(order) - least + 1)]
+    often = often[often == order[least - 1 :]]
+    pairs = often[np.append(True, often[1:] != often[:-1])] if len(often) else often
+    counts = np.searchsorted(order, pairs, "right") - np.searchsorted(order, pairs)
+    return pairs[np.argsort(-counts, kind="stable")[:most]]
 
 
 def repair(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, their starts by document, rules as pairs) for ids whose documents begin at starts[:-1]."""
-    seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
+    width = 2 if first < 1 << 16 else 4
+    symbol, pair = (np.uint16, np.uint32) if width == 2 else (np.uint32, np.uint64)
+    bits, spreads = pair(8 * width), (pair(0x9E3779B1) if width == 2 else pair(0x9E3779B97F4A7C15), pair(16 * width - 16))
+    seq, last = ids.astype(symbol), np.zeros(len(ids), bool)
     last[starts[1:] - 1] = True
     rules: list[np.ndarray] = []
-    width = 2 if first < 1 << 16 else 4
     n_rules, gain, room = 0, len(seq), (1 << 8 * width) - first
+    slot = lambda k: (k * spreads[0] >> spreads[1]).astype(np.uint16)
     while gain >= LEAST_GAIN * width * len(seq) and len(seq) > 1 and room > n_rules:
-        keys = pair_keys(seq, last)
-        pairs = frequent(keys, min(PAIRS_A_ROUND, room - n_rules), 2 * RULE_BYTES // width)
+        inner = ~last[:-1]  # no pair across the end of a document
+        keys = seq[:-1].astype(pair) << bits | seq[1:]
+        pairs = frequent(keys[inner], min(PAIRS_A_ROUND, room - n_rules), 2 * RULE_BYTES // width)
         if not len(pairs):
             break
-        slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-        which = np.full(1 << 16, -1, np.int64)
+        which = np.full(1 << 16, -1, np.int32)
         which[slot(pairs[::-1])] = np.arange(len(pairs))[::-1]  # of two in a slot the more frequent one is kept, the other waits
         pairs = pairs[np.sort(which[which >= 0])]
         which[slot(pairs)] = np.arange(len(pairs))
-        rule = which[slot(keys)]
-        hit = rule >= 0
-        hit &= pairs[rule] == keys
-        at = np.flatnonzero(hit)
+        held = np.zeros(1 << 16, pair)  # a free slot holds a pair that belongs to another one
+        held[slot(np.zeros(1, pair))] = 1
+        held[slot(pairs)] = pairs
+        slots = slot(keys)
+        at = np.flatnonzero((held.take(slots) == keys) & inner)
         run = np.concatenate([[True], np.diff(at) > 1])  # neighbouring hits overlap: every other one from the left counts
         offset = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         at = at[offset % 2 == 0]
-        seq[at] = first + n_rules + rule[at]
+        seq[at] = first + n_rules + which[slots[at]]
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         gain = width * len(at) - RULE_BYTES * len(pairs)
         seq, last = seq[keep], last[keep]
-        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
+        rules.append(np.stack([pairs >> bits, pairs & pair((1 << 8 * width) - 1)], 1).astype(np.int64))
         n_rules += len(pairs)
     return seq, np.concatenate([[0], np.flatnonzero(last) + 1]), np.concatenate([np.zeros((0, 2), np.int64), *rules])
 
@@ -272,20 +345,25 @@ class Shard:
         self._flatten()
 
     def _flatten(self) -> None:
-        """Every symbol's expansion, one after the other."""
+        """Every symbol's expansion, one after the other; in rounds, of the rules whose parts are known."""
         self.width = np.concatenate([np.ones(self.first, np.int64), self.length])
         self.offset = np.cumsum(self.width) - self.width
-        self.flat = np.empty(int(self.width.sum()), np.int64)
+        self.flat = np.empty(int(self.width.sum()), np.int32)
         self.flat[: self.first] = np.arange(self.first)
-        for k, (a, b) in enumerate(self.rules.tolist(), self.first):
-            to, mid = self.offset[k], self.offset[k] + self.width[a]
-            self.flat[to:mid] = self.flat[self.offset[a] : self.offset[a] + self.width[a]]
-            self.flat[mid : to + self.width[k]] = self.flat[self.offset[b] : self.offset[b] + self.width[b]]
+        known, left = np.arange(len(self.width)) < self.first, np.arange(len(self.rules))
+        while len(left):
+            ready = known[self.rules[left]].all(1)
+            if not ready.any():
+                raise ValueError("a rule needs itself")
+            now, left = left[ready], left[~ready]
+            to = self.offset[self.first + now]
+            for part in self.rules[now].T:
+                self.flat[spread(to, self.width[part])] = self.flat[spread(self.offset[part], self.width[part])]
+                to = to + self.width[part]
+            known[self.first + now] = True
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        n = self.width[symbols]
-        ends = np.cumsum(n)
-        return self.flat[np.repeat(self.offset[symbols] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        return self.flat[spread(self.offset[symbols], self.width[symbols])]
 
     def ids(self, k: int) -> np.ndarray:
         return self.expand(self.symbols[self.symbol_start[k] : self.symbol_start[k + 1]])
@@ -334,7 +412,7 @@ def write_shards(docs: DataFrame, vocab_json: str, end_id: int, folder: str) ->
             encoded = encoder(vocab_json)([t or "" for t in frame["text"]])
             for doc_id, null, ids in zip(frame["doc_id"], frame["absent"], encoded, strict=True):
                 doc_ids.append(None if null else int(doc_id))
-                parts.append(np.append(ids, end_id))
+                parts.append(np.append(ids, np.int32(end_id)))
                 held += len(parts[-1])
                 if held >= SHARD_IDS:
                     yield flush()
@@ -368,7 +446,8 @@ def map_shards(manifest: DataFrame, tasks: int, derive, schema: str) -> DataFram
                 fs, name = filesystem(path)
                 with fs.open_input_stream(name, compression=None) as f:
                     shard = Shard(f.read())
-                rows = [derive(shard.ids(k)) for k in range(len(shard.doc_id))]
+                decoded = np.split(shard.expand(shard.symbols), shard.id_start[1:-1])
+                rows = [derive(own) for own in decoded[: len(shard.doc_id)]]
                 ids = pd.array(shard.doc_id, "Int64")
                 ids[shard.null] = pd.NA
                 yield pd.DataFrame({"doc_id": ids, "start": first + shard.id_start[:-1], "n_tokens": np.diff(shard.id_start)} | {c: [r[c] for r in rows] for c in (rows[0] if rows else [])})

@@ -52,6 +52,40 @@ def test_pieces_of_one_hash_are_told_apart(library, monkeypatch):
     assert [g.tolist() for g in tf.Encoder(VOCAB)(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_word_is_asked_for_once_whatever_stands_after_it(library, monkeypatch):
+    words, marks = ["alpha", "beta", "gamma", "delta", "omega"], ["", ",", ".", "!", "?", ";", ":", "***", "12", "7", ").", '"']
+    texts = [" ".join(w + m for w in words for m in marks) for _ in range(3)]
+    asked, encoded = [], tf.Encoder.encoded
+    monkeypatch.setattr(tf.Encoder, "encoded", lambda self, given: asked.extend(given) or encoded(self, given))
+    got = tf.Encoder(VOCAB)(texts)
+    assert [g.tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert sum(len(t) for t in asked) < len(texts[0]) / 3
+
+
+KINDS = ["'", "'s", "'ll", "'S", "s", "ll", "x", "1", "23", "_", "!", "''", "é", "日", "½", "\x00", "\x7f", "\n", " ", "  ", "\t", "<|"]
+
+
+def test_letters_digits_and_marks_meet_as_the_library_cuts_them(library):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(KINDS) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    got = tf.Encoder(VOCAB)(texts)
+    assert [g.tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_long_pieces(library, monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(tf, "BYTE_HASH", np.arange(256, dtype=np.uint64) % np.uint64(3))
+        monkeypatch.setattr(tf, "STEP", np.uint64(1))
+        monkeypatch.setattr(tf.hashlib, "blake2b", lambda data, digest_size, real=tf.hashlib.blake2b: real(b"", digest_size=digest_size))
+    sizes = [7, 8, 9, 15, 16, 17, 63, 64, 65, 66, 127, 128, 129, 5000]
+    texts = [f"{'ab' * n}"[:n] + f" {'ba' * n}"[: n + 1] + " c" for n in sizes] + [f"{'ba' * n}"[:n] + "," + "é" * n for n in sizes] + ["a\0", "a", "a\0\0"]
+    encoder = tf.Encoder(VOCAB)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [g.tolist() for g in encoder(texts)] == want
+    assert [g.tolist() for g in encoder(texts[::-1])] == want[::-1]
+
+
 def test_other_settings_of_the_file_are_kept(tmp_path):
     import json
 
@@ -95,6 +129,29 @@ def test_shard_round_trip_and_slices(kind):
         assert shard.length.tolist() == [len(shard.expand(np.array([shard.first + r]))) for r in range(len(shard.rules))]
 
 
+def test_known_pieces_are_bounded_by_bytes(library, monkeypatch):
+    monkeypatch.setattr(tf, "KNOWN_BYTES", 5000)
+    encoder, texts = tf.Encoder(VOCAB), ["日本" * 100 + str(k) for k in range(60)]
+    for text in texts:
+        assert encoder([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.raw) <= 5000 + 700
+
+
+def test_ids_beyond_16_bits():
+    rng = np.random.default_rng(4)
+    parts = [rng.choice([5, 65535, 65536, 69999, 5, 5], rng.integers(1, 3000)) for _ in range(12)] + [np.full(2001, 69999)]
+    shard = tf.Shard(tf.pack(list(range(13)), parts, 70000))
+    assert all((shard.ids(k) == p).all() and len(shard.ids(k)) == len(p) for k, p in enumerate(parts))
+    assert len(shard.rules) and len(shard.symbols) < sum(map(len, parts)) / 2
+
+
+def test_a_rule_that_needs_itself_is_an_error():
+    blob = bytearray(tf.pack([1], [np.tile([1, 2], 900)], 50257))
+    blob[80:84] = (50257).to_bytes(4, "little")
+    with pytest.raises(ValueError):
+        tf.Shard(bytes(blob))
+
+
 def test_files_hold_documents_in_order(spark, documents, library, prose):
     rows = [(9, prose(40, 1)), (2, None), (-5, "x"), (None, "no id"), (7, "b"), (7, "a"), (7, "a"), *((100 + i, t) for i, t in enumerate(ODD_TEXTS))]
     got = [tuple(r) for r in tf.file_digests(documents(rows), VOCAB).orderBy("start").collect()]
